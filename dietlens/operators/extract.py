@@ -33,17 +33,18 @@ def match_terms_by_join(df: DataFrame, key: str, text: str, lexicon: DataFrame)
     lengths = [r.n for r in terms.select(F.size(_segments(F.col("term"))).alias("n")).distinct().collect()]
     if not lengths:
         lengths = [1]
-    segments = F.col("_segments")
-    runs = F.array_distinct(F.flatten(F.array(*[
-        F.transform(
-            F.when(F.size(segments) >= n, F.sequence(F.lit(1), F.size(segments) - (n - 1)))
-            .otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.array_join(F.slice(segments, i, n), ""),
+    def runs_of(n: int) -> Column:
+        segments = F.col("_segments")
+        starts = F.when(F.size(segments) >= n, F.sequence(F.lit(1), F.size(segments) - (n - 1))).otherwise(
+            F.array().cast("array<int>")
         )
-        for n in sorted(lengths)
-    ])))
+        return F.transform(starts, lambda i: F.array_join(F.slice(segments, i, n), ""))
+
+    runs = F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in sorted(lengths)])))
     candidates = (
-        df.select(key, _segments(normalize_text(text)).alias("_segments"))
+        # The ends of a text are boundaries beside a word character only, so a mark is set before the
+        # segments are cut: it stands alone beside a word and joins any other characters.
+        df.select(key, _segments(F.concat(F.lit("\x00"), normalize_text(text), F.lit("\x00"))).alias("_segments"))
         .select(key, F.explode(runs).alias("term"))
     )
     return lookup_join(candidates, terms, "term", [key], how="inner").select(key, "term")

@@ -68,7 +68,8 @@ def read_csv_records(spark: SparkSession, path: str, schema: StructType | str) -
     return (
         spark.read.schema(schema)
         .option("header", True).option("multiLine", True).option("escape", '"')
-        .option("emptyValue", "").option("nullValue", None)
+        # An own mark for empty fields keeps them apart from quoted empty strings.
+        .option("nullValue", "\x00").option("emptyValue", "")
         .csv(path)
     )
 
@@ -76,7 +77,7 @@ def read_csv_records(spark: SparkSession, path: str, schema: StructType | str) -
 def write_csv_records(df: DataFrame, path: str) -> None:
     """CSV with header and no index. Array columns must be joined to text before."""
     (
-        df.write.option("header", True).option("escape", '"').option("quoteAll", True)
+        df.write.option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
