@@ -15,6 +15,15 @@ SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # A word character is a letter, a digit or an underscore in any script.
 WORD = r"[\p{L}\p{N}_]"
 
+EXTRACTION_PROMPT = (
+    "List every food, drink, herb and supplement named in the note below, leaving out drugs. "
+    "Reply with a JSON array of strings only.\n\nNote:\n"
+)
+LABELLING_PROMPT = (
+    "How serious is the food interaction in this note? "
+    "Reply with one word out of severe, moderate, minor, info.\n\nNote:\n"
+)
+
 
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -180,17 +189,9 @@ def embedding_text(drug: Column | str, food: Column | str, text: Column | str) -
 
 def extraction_prompt(text: Column | str) -> Column:
     """Prompt column for offline inference on rows whose rule-based list says little."""
-    return F.concat(
-        F.lit("List every food, drink, herb and supplement named in the note below, leaving out drugs. "
-              "Reply with a JSON array of strings only.\n\nNote:\n"),
-        F.coalesce(as_column(text), F.lit("")),
-    )
+    return F.concat(F.lit(EXTRACTION_PROMPT), F.coalesce(as_column(text), F.lit("")))
 
 
 def labelling_prompt(text: Column | str) -> Column:
     """Prompt column for offline inference on rows that no severity rule matches."""
-    return F.concat(
-        F.lit("How serious is the food interaction in this note? "
-              "Reply with one word out of severe, moderate, minor, info.\n\nNote:\n"),
-        F.coalesce(as_column(text), F.lit("")),
-    )
+    return F.concat(F.lit(LABELLING_PROMPT), F.coalesce(as_column(text), F.lit("")))
