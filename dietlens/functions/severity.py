@@ -17,10 +17,9 @@ from dietlens.functions.text import any_match, as_column, strip_or_empty
 def classify_severity(text: Column | str, patterns: Mapping[str, Sequence[str]] = SEVERITY_PATTERNS) -> Column:
     """First level, in the order given, with a pattern found in the lower-cased text; else unknown."""
     lowered = F.lower(as_column(text))
-    label = None
+    label = F
     for level, level_patterns in patterns.items():
-        hit = any_match(lowered, level_patterns)
-        label = F.when(hit, level) if label is None else label.when(hit, level)
+        label = label.when(any_match(lowered, level_patterns), level)
     return label.otherwise("unknown")
 
 

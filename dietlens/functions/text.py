@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,14 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once.
+
+    A column used many times in one expression is otherwise computed anew in every branch.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column | str) -> Column:
     """Remove leading and trailing Unicode whitespace (`trim` alone removes spaces only)."""
     return F.trim(as_column(text), F.lit(SPACE_CHARS))
@@ -64,8 +72,16 @@ def contains_any(text: Column | str, tokens: Iterable[str]) -> Column:
 
 
 def any_match(text: Column | str, patterns: Iterable[str]) -> Column:
-    """Unanchored search for any of the patterns, as one alternation."""
-    return as_column(text).rlike("|".join(f"(?:{p})" for p in patterns))
+    """Unanchored search for any of the patterns.
+
+    Plain words are searched as substrings, several times faster than an alternation in one pattern.
+    """
+    text = as_column(text)
+    found = F.lit(False)
+    for pattern in patterns:
+        plain = all(c.isalnum() or c == " " for c in pattern)
+        found = found | (F.contains(text, F.lit(pattern)) if plain else text.rlike(pattern))
+    return found
 
 
 def whole_word_pattern(term: str) -> str:
@@ -79,20 +95,22 @@ def whole_word_pattern(term: str) -> str:
 
 
 def lexicon_hits(normalized: Column | str, lexicon: Iterable[str]) -> Column:
-    """Terms of a small lexicon that stand in the text as whole words.
+    """Terms of a small lexicon that stand in the normalized text as whole words.
 
     Each term is tested by itself, so a term inside a longer term is found as well. The cheap
     substring test runs first; the pattern only decides about the word boundaries. For a lexicon of
     thousands of terms use `operators.extract.match_terms_by_join`.
     """
-    text = as_column(normalized)
-    hits = [
-        F.when(F.contains(text, F.lit(t)) & text.rlike(whole_word_pattern(t)), F.lit(t))
-        for t in sorted(set(lexicon))
-    ]
-    if not hits:
+    terms = sorted(set(lexicon))
+    if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*hits))
+
+    def hits(text: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(F.contains(text, F.lit(t)) & text.rlike(whole_word_pattern(t)), F.lit(t)) for t in terms
+        ]))
+
+    return let(as_column(normalized), hits)
 
 
 def enumeration_items(normalized: Column | str, markers: Iterable[str] = ENUMERATION_MARKERS) -> Column:
@@ -117,8 +135,9 @@ def extract_terms(
     text: Column | str, lexicon: Iterable[str], markers: Iterable[str] = ENUMERATION_MARKERS
 ) -> Column:
     """Lexicon terms and listed items of a raw text, sorted and distinct."""
-    normalized = normalize_text(text)
-    return sorted_distinct(F.concat(lexicon_hits(normalized, lexicon), enumeration_items(normalized, markers)))
+    return let(normalize_text(text), lambda normalized: sorted_distinct(
+        F.concat(lexicon_hits(normalized, lexicon), enumeration_items(normalized, markers))
+    ))
 
 
 def join_terms(items: Column | str) -> Column:

@@ -14,7 +14,7 @@ from dietlens.functions.severity import classify_severity, final_label, label_fr
 from dietlens.functions.text import (
     WORD, as_column, extract_terms, is_low_information, join_terms, normalize_text, parse_food_list, sorted_distinct,
 )
-from dietlens.session import BROADCAST_ROWS, lookup_join
+from dietlens.session import BROADCAST_ROWS, lookup_join, materialize
 
 
 def _segments(text: Column) -> Column:
@@ -35,6 +35,8 @@ def match_terms_by_join(df: DataFrame, key: str, text: str, lexicon: DataFrame)
         lengths = [1]
     def runs_of(n: int) -> Column:
         segments = F.col("_segments")
+        if n == 1:
+            return segments
         starts = F.when(F.size(segments) >= n, F.sequence(F.lit(1), F.size(segments) - (n - 1))).otherwise(
             F.array().cast("array<int>")
         )
@@ -109,6 +111,8 @@ def extract_with_answers(
     """
     ruled = df.withColumn("food_entities", extract_terms(text, lexicon, markers))
     if answers is not None:
+        # Read twice from here on, and dear to compute.
+        ruled = materialize(ruled, "extracted")
         unresolved = ruled.filter(is_low_information("food_entities", generic))
         usable = usable_answers(unresolved, answers, key, order_by, budget)
         extra = parse_food_list(F.coalesce("raw_response", F.lit("")))
@@ -130,11 +134,15 @@ def label_with_answers(
     budget: int = LABELLING_BUDGET,
     label: str = "severity",
 ) -> DataFrame:
-    """Adds the severity: the rule's label, else the answer within the budget, else info."""
-    ruled = df.withColumn("rule_label", classify_severity(text, patterns))
+    """Adds the severity: the rule's label, else the answer within the budget, else info.
+
+    A `rule_label` column that is already there is used.
+    """
+    ruled = df if "rule_label" in df.columns else df.withColumn("rule_label", classify_severity(text, patterns))
     answer = F.lit(None).cast("string")
     if answers is not None:
         usable = usable_answers(ruled.filter(as_column("rule_label") == "unknown"), answers, key, order_by, budget)
         ruled = _join_usable(ruled, usable, key, budget)
         answer = F.when(F.col("position").isNotNull(), label_from_answer("raw_response"))
-    return ruled.withColumn(label, final_label("rule_label", answer)).select(*df.columns, "rule_label", label)
+    kept = [c for c in df.columns if c != "rule_label"]
+    return ruled.withColumn(label, final_label("rule_label", answer)).select(*kept, "rule_label", label)

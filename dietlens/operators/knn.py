@@ -17,8 +17,8 @@ from pyspark.sql.types import StructField, StructType, DoubleType
 
 from dietlens.functions.vectors import similarity_from_distance
 from dietlens.operators.keys import check_ids
+from dietlens.session import BROADCAST_BYTES
 
-BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 _PLACES = 12
 _TIE = 10.0 ** -_PLACES
@@ -57,8 +57,24 @@ def _keep_best(qrow: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int):
     return qrow[keep], ids[keep], dist[keep]
 
 
-def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int):
-    """Top k of one corpus block for every query row, as (query row, id, distance)."""
+def _first_k(sims: np.ndarray, k: int) -> np.ndarray:
+    """Marks k cells of each row: the largest, and among ties the leftmost."""
+    width = sims.shape[1]
+    if width <= k:
+        return np.ones(sims.shape, dtype=bool)
+    kth = np.partition(sims, width - k, axis=1)[:, width - k, None]
+    above = sims > kth + _TIE
+    tied = ~above & (sims >= kth - _TIE)
+    need = k - above.sum(axis=1, keepdims=True)
+    return above | (tied & (np.cumsum(tied, axis=1) <= need))
+
+
+def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """Top k of one corpus block for every query row, as (query row, id, distance).
+
+    `bound` holds the k-th similarity found so far for each query; what lies below it is left out.
+    """
+    # Columns in id order, so that ties at the border go to the smallest ids.
     order = np.argsort(ids, kind="stable")
     ids, corpus = ids[order], corpus[order]
     step = max(1, _CELLS // max(1, len(ids)))
@@ -66,15 +82,13 @@ def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int)
     for start in range(0, len(queries), step):
         chunk = queries[start:start + step]
         sims = chunk @ corpus.T
-        if len(ids) <= k:
-            take = np.ones(sims.shape, dtype=bool)
+        if bound is None:
+            take = _first_k(sims, k)
         else:
-            kth = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None]
-            above = sims > kth + _TIE
-            tied = ~above & (sims >= kth - _TIE)
-            # Ties at the border go to the smallest ids; the columns are in id order.
-            need = k - above.sum(axis=1, keepdims=True)
-            take = above | (tied & (np.cumsum(tied, axis=1) <= need))
+            take = sims >= bound[start:start + step, None] - 2 * _TIE
+            many = np.count_nonzero(take, axis=1) > k
+            if many.any():
+                take[many] = _first_k(sims[many], k)
         q, c = np.nonzero(take)
         # The row-wise sum gives equal vectors the same distance in every block.
         exact = (chunk[q] * corpus[c]).sum(axis=1)
@@ -82,6 +96,13 @@ def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int)
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
+def _kth_similarity(qrow: np.ndarray, dist: np.ndarray, n_queries: int, k: int) -> np.ndarray:
+    """Similarity of the k-th row of each query in `_keep_best` order; -inf where there are fewer."""
+    counts = np.bincount(qrow, minlength=n_queries)
+    last = np.maximum(np.cumsum(counts) - 1, 0)
+    return np.where(counts >= k, 1.0 - dist[last], -np.inf)
+
+
 def _id_fields(queries: DataFrame, corpus: DataFrame, query_id: str, row_id: str) -> StructType:
     return StructType([
         StructField(query_id, queries.schema[query_id].dataType),
@@ -99,14 +120,15 @@ def _broadcast_top(queries: pa.Table, corpus: DataFrame, k: int, out: StructType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_rows = shared.value
-        best = None
+        best, bound = None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            found = _block_top(query_rows, _ids(batch.column(0)), _unit_rows(batch.column(1)), k)
+            found = _block_top(query_rows, _ids(batch.column(0)), _unit_rows(batch.column(1)), k, bound)
             if best is not None:
                 found = tuple(np.concatenate(pair) for pair in zip(best, found))
             best = _keep_best(*found, k)
+            bound = _kth_similarity(best[0], best[2], len(query_rows), k)
         if best is not None:
             qrow, ids, dist = best
             yield pa.RecordBatch.from_arrays(

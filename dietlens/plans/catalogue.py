@@ -19,7 +19,7 @@ from dietlens.functions import text as T
 from dietlens.functions import vectors as V
 from dietlens.operators import cluster, encode, extract, injectables, keys, knn, metrics, models, reasoning, relevance, split, vote
 from dietlens.plans import answer, prepare
-from dietlens.session import materialize, new_path
+from dietlens.session import materialize, new_path, spread
 from dietlens.sources import records, store
 
 LEXICON = ["the", "of the", "to be", "der", "die", "nicht die", "la", "les", "de la", "que", "être", "worth"]
@@ -53,7 +53,7 @@ _KEY = ["doc_id", "text_pos"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lines(spark, sf_dir) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dietlens.constants import (
     ENUMERATION_MARKERS, EXTRACTION_BUDGET, FOOD_LEXICON, GENERIC_TERMS, LABELLING_BUDGET, SEVERITY_PATTERNS,
 )
+from dietlens.functions.severity import classify_severity
 from dietlens.functions.text import embedding_text
 from dietlens.operators.encode import Encoder
 from dietlens.operators.extract import extract_with_answers, flatten_terms, label_with_answers
@@ -43,9 +44,12 @@ def labelled_triples(
 
     `answers` is keyed by `key` plus `food_pos`.
     """
-    flat = flatten_terms(
-        extracted.select(*key, "drug_name", "interaction_text", "food_entities"), "food_entities"
-    ).withColumn("food_pos", F.coalesce("food_pos", F.lit(0)))
+    # A text is classified once, before its terms multiply it.
+    ruled = extracted.select(
+        *key, "drug_name", "interaction_text", "food_entities",
+        classify_severity("interaction_text", patterns).alias("rule_label"),
+    )
+    flat = flatten_terms(ruled, "food_entities").withColumn("food_pos", F.coalesce("food_pos", F.lit(0)))
     order = [*key, "food_pos"]
     labelled = label_with_answers(flat, "interaction_text", order, order, answers, patterns, budget)
     return add_row_id(labelled, order).select("row_id", "drug_name", "food", "interaction_text", "severity")

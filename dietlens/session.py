@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Most rows a table may have before a join stops broadcasting it.
+# Most rows and bytes a table may have before a join stops broadcasting it.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app_name: str = "dietlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,7 +23,7 @@ def build_session(app_name: str = "dietlens", master: str | None = None, **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -59,12 +60,21 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_none(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """`df` as a local table if it has at most `max_rows` rows, else None."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it comes in fewer partitions than there are cores, else as it is.
+
+    One small file is one task, however much work its rows are. Large inputs are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_or_none(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """`df` as a local table if it is within both bounds, else None. Reads no more than the bound."""
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows or head.nbytes > max_bytes:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(head, df.schema)
 
 
 def lookup_join(

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from dietlens.constants import FOOD_LEXICON
 from dietlens.functions.text import is_not_blank, strip, strip_or_empty
+from dietlens.session import spread
 
 RAW_SCHEMA = "name STRING, reference STRING, food_interactions ARRAY<STRING>"
 
@@ -35,11 +36,11 @@ def flatten_records(records: DataFrame) -> DataFrame:
 def load_drug_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Interaction rows of a JSON file of drug records, keyed by (entry_id, text_pos).
 
-    A JSON array in one file is read by one task. For large inputs use JSON Lines and
-    `multi_line=False`, which splits.
+    A JSON array in one file is read by one task and its records are spread after that. For large
+    inputs use JSON Lines and `multi_line=False`, which splits.
     """
     raw = spark.read.schema(RAW_SCHEMA).option("multiLine", multi_line).json(path)
-    return flatten_records(raw.withColumn("entry_id", F.monotonically_increasing_id()))
+    return flatten_records(spread(raw.withColumn("entry_id", F.monotonically_increasing_id())))
 
 
 def split_lines(documents: DataFrame, key: str, drug: str, text: str) -> DataFrame:

@@ -43,6 +43,19 @@ def test_against_brute_force_with_a_third_of_copies(spark, blocked):
     assert found(knn.nearest(queries, corpus, 10, **options)) == brute(qs, rows, 10)
 
 
+def test_many_batches_in_one_partition(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4)) for i in range(300)] + [(300 + i, [1, 0, 0, 0]) for i in range(200)]
+    order = rng.permutation(len(rows))
+    qs = [(i, rng.normal(size=4)) for i in range(20)] + [(50, [1, 0, 0, 0]), (51, [0, 0, 0, 0])]
+    corpus, queries = tables(spark, [rows[i] for i in order], qs, 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert found(knn.nearest(queries, corpus, 7)) == brute(qs, rows, 7)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("blocked", [False, True])
 def test_k_above_the_corpus(spark, blocked):
     rows = [(0, [1, 0]), (1, [0, 1]), (2, [-1, 0])]
