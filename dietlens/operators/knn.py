@@ -77,18 +77,24 @@ def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int,
     # Columns in id order, so that ties at the border go to the smallest ids.
     order = np.argsort(ids, kind="stable")
     ids, corpus = ids[order], corpus[order]
+    # Single precision finds the candidates; `slack` bounds its error on unit vectors.
+    fast_queries, fast_corpus = queries.astype(np.float32), corpus.astype(np.float32)
+    slack = np.float32((corpus.shape[1] + 16) * 2.0 ** -23)
     step = max(1, _CELLS // max(1, len(ids)))
     parts = []
     for start in range(0, len(queries), step):
         chunk = queries[start:start + step]
-        sims = chunk @ corpus.T
-        if bound is None:
-            take = _first_k(sims, k)
+        sims = fast_queries[start:start + step] @ fast_corpus.T
+        if bound is not None:
+            least = bound[start:start + step, None].astype(np.float32) - slack
+        elif len(ids) > k:
+            least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None] - 2 * slack
         else:
-            take = sims >= bound[start:start + step, None] - 2 * _TIE
-            many = np.count_nonzero(take, axis=1) > k
-            if many.any():
-                take[many] = _first_k(sims[many], k)
+            least = np.float32(-np.inf)
+        take = sims >= least
+        many = np.count_nonzero(take, axis=1) > 4 * k
+        if many.any():
+            take[many] = _first_k(chunk[many] @ corpus.T, k)
         q, c = np.nonzero(take)
         # The row-wise sum gives equal vectors the same distance in every block.
         exact = (chunk[q] * corpus[c]).sum(axis=1)

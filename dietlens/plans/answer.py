@@ -67,9 +67,8 @@ def resolve_foods(
     """
     typed = queries.filter(is_not_blank("food")).select("food").distinct()
     encoded = encoder(typed.withColumn("_food_text", strip("food")), "_food_text", "embedding")
-    best = nearest(encoded, foods, 1, query_id="food", row_id="food_name").select(
-        "food", "food_name", (F.lit(1.0) - F.col("distance")).alias("_similarity")
-    )
+    found = materialize(nearest(encoded, foods, 1, query_id="food", row_id="food_name"), "foods")
+    best = found.select("food", "food_name", (F.lit(1.0) - F.col("distance")).alias("_similarity"))
     joined = lookup_join(queries, best, "food", [query_id])
     resolved = (
         F.when(F.col("food").isNull(), F.lit(None).cast("string"))
