@@ -14,7 +14,7 @@ from dietlens.functions.severity import classify_severity, final_label, label_fr
 from dietlens.functions.text import (
     WORD, as_column, extract_terms, is_low_information, join_terms, normalize_text, parse_food_list, sorted_distinct,
 )
-from dietlens.session import BROADCAST_ROWS, lookup_join, materialize
+from dietlens.session import BROADCAST_ROWS, lookup_join, materialize, small_or_none
 
 
 def _segments(text: Column) -> Column:
@@ -78,11 +78,17 @@ def usable_answers(
     `answers` holds each key once, with `raw_response` and `status`.
     """
     first = unresolved.select(*dict.fromkeys(key + order_by)).orderBy(*order_by).limit(budget)
+    # At most `budget` rows: kept aside, so that the unresolved rows are searched once and the
+    # answers need no shuffle.
+    small = small_or_none(first, budget) if budget <= BROADCAST_ROWS else None
+    first = materialize(first, "unresolved") if small is None else small
+    given = answers.select(*key, "raw_response", "status")
+    if small is not None:
+        given = F.broadcast(given.join(F.broadcast(first.select(*key)), key))
     in_order = Window.orderBy(*order_by)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Both windows run over at most `budget` rows.
     asked = (
-        first.join(answers.select(*key, "raw_response", "status"), key, "left")
+        first.join(given, key, "left")
         .withColumn("position", F.row_number().over(in_order))
         .withColumn("_failed", F.max((F.coalesce("status", F.lit("ok")) == "quota").cast("int")).over(so_far))
     )

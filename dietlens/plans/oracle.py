@@ -366,4 +366,11 @@ FROM celled p LEFT JOIN members m USING (cx, cy) LEFT JOIN kept k USING (root)""
     "raw_records": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, md5(interaction_text) AS interaction_text FROM lines WHERE lang <> 'es'",
     "vector_store_round_trip": """SELECT count(*) AS num_rows, max(len(embedding))::BIGINT AS embedding_dim, 'cosine' AS metric,
   round(sum(list_sum(embedding::DOUBLE[])), 4) AS total FROM embeddings""",
+    "explanations_csv": f"""WITH asked AS (
+  SELECT 'src' || (conv_id % 25) AS drug, regexp_extract({norm('text')}, '{WORD}+') AS food, text AS t FROM conversations),
+reasons AS (
+  SELECT CASE WHEN length(food) < 2 THEN 'missing_drug_or_food'
+    WHEN {any_of('lower(t)', C.OFF_TOPIC)} OR {any_of('lower(food)', C.OFF_TOPIC)} THEN 'irrelevant_domain'
+    WHEN drug NOT IN (SELECT lower(source) FROM documents) THEN 'unknown_drug' ELSE 'ok' END AS relevance_reason FROM asked)
+SELECT relevance_reason = 'ok' AS relevant, relevance_reason, count(*) AS n FROM reasons GROUP BY ALL""",
 }
