@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType, DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from dietlens.functions.vectors import similarity_from_distance
 from dietlens.operators.keys import check_ids
@@ -144,6 +144,30 @@ def _broadcast_top(queries: pa.Table, corpus: DataFrame, k: int, out: StructType
     return corpus.mapInArrow(scan, out)
 
 
+def _streamed_top(queries: DataFrame, corpus: pa.Table, k: int, out: StructType) -> DataFrame:
+    """Stream the queries past a broadcast corpus; each query is finished, and ranked, where it is."""
+    shared = queries.sparkSession.sparkContext.broadcast((_ids(corpus.column(0)), _unit_rows(corpus.column(1))))
+    ranked = StructType([*out.fields, StructField("rank", IntegerType())])
+    names = ranked.names
+    query_type = to_arrow_type(out[names[0]].dataType)
+    row_type = corpus.column(0).type
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_ids, rows = shared.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            qrow, ids, dist = _keep_best(*_block_top(_unit_rows(batch.column(1)), row_ids, rows, k), k)
+            rank = np.arange(len(qrow)) - np.searchsorted(qrow, qrow, side="left") + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_ids(batch.column(0))[qrow], query_type), pa.array(ids, row_type), pa.array(dist),
+                 pa.array(rank, pa.int32())],
+                names=names,
+            )
+
+    return queries.mapInArrow(scan, ranked)
+
+
 def _blocked_top(
     queries: DataFrame, corpus: DataFrame, n_queries: int, n_rows: int, k: int, block_rows: int, out: StructType
 ) -> DataFrame:
@@ -191,8 +215,8 @@ def nearest(
     """(query_id, rank, row_id, distance, similarity): the k nearest corpus rows of every query.
 
     Exact brute force; fewer than k rows come back if the corpus is smaller. Both ids must be unique
-    and sortable. Queries of at most `broadcast_bytes` are broadcast and the corpus is not shuffled;
-    more queries are met block by block.
+    and sortable. Whichever side is within `broadcast_bytes` is broadcast, the queries if both are, and
+    the other side is not shuffled; if neither is, they are met block by block.
     """
     queries = queries.select(F.col(query_id), F.col(query_vector).cast("array<float>").alias("_q"))
     corpus = corpus.select(F.col(row_id), F.col(row_vector).cast("array<float>").alias("_c"))
@@ -200,19 +224,20 @@ def nearest(
 
     sample = queries.select(F.size("_q").alias("n")).first()
     most = max(1, broadcast_bytes // (8 * max(1, sample.n if sample else 1)))
+    similarity = similarity_from_distance("distance").alias("similarity")
+    columns = [query_id, "rank", row_id, "distance", similarity]
     head = queries.limit(most + 1).toArrow()
     if head.num_rows == 0:
         best = queries.sparkSession.createDataFrame([], out)
     elif head.num_rows <= most:
         best = _broadcast_top(head, corpus, k, out)
     else:
+        rows = corpus.limit(most + 1).toArrow()
+        if 0 < rows.num_rows <= most:
+            return _streamed_top(queries, rows, k, out).select(*columns)
         best = _blocked_top(queries, corpus, queries.count(), corpus.count(), k, block_rows, out)
     order = Window.partitionBy(query_id).orderBy("distance", row_id)
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(query_id, "rank", row_id, "distance", similarity_from_distance("distance").alias("similarity"))
-    )
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*columns)
 
 
 def attach_rows(neighbors: DataFrame, rows: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -40,7 +40,7 @@ MECHANISMS = {
     "cyp3a4": ["hshs"],
     "vitamin_k": ["zz"],
     "absorption": ["worth"],
-    "alcohol": ["oil "],
+    "alcohol": ["erhath"],
 }
 THINNING = ["es"]
 CURATED = ["src0-de", "src1-fr"]
@@ -410,10 +410,13 @@ def _word_vocabulary(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    """Turns as queries: the first word is the drug, the role the food; system turns name none."""
+    """Turns as queries: the first word is the drug, the role the food.
+
+    Turns that open with "the" name no drug, and system turns no food.
+    """
     return table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        _first_word("text").alias("drug_name"),
+        F.nullif(_first_word("text"), F.lit("the")).alias("drug_name"),
         F.nullif(F.col("role"), F.lit("system")).alias("food"),
         F.col("text").alias("interaction_text"),
     )
@@ -544,9 +547,18 @@ def projection(spark, sf_dir):
 
 
 def clustering_summary(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    clustered = cluster.without_density_clusters(cluster.add_kmeans(vectors, cluster.fit_kmeans(vectors)))
-    return cluster.clustering_summary(clustered, ["cluster_kmeans", "cluster_hdbscan"], kmeans_n_clusters=10)
+    """Sizes of the stored labels as clusters and of the density clusters, with the parameters."""
+    found = cluster.add_density_clusters(_plane(spark, sf_dir), "x", "y", EPS, MIN_POINTS, MIN_SIZE)
+    summary = cluster.clustering_summary(found, ["label", "cluster_hdbscan"], eps=EPS, min_points=MIN_POINTS, metric="euclidean")
+
+    def as_text(sizes):
+        pairs = F.transform(F.map_entries(sizes), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+        return F.array_join(F.array_sort(pairs), "|")
+
+    return summary.select(
+        as_text("label_sizes").alias("label_sizes"), as_text("cluster_hdbscan_sizes").alias("density_sizes"),
+        "eps", F.col("min_points").cast("long").alias("min_points"), "metric",
+    )
 
 
 # Models
@@ -680,7 +692,9 @@ def encode_text(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     encoder = encode.tfidf_encoder(encode.fit_tfidf(documents, "text", TFIDF_SIZE))
     unit = encoder(documents, "text", "embedding")
-    return unit.select("doc_id", F.round(V.l2_norm("embedding"), 4).alias("norm"), F.size("embedding").alias("dim"))
+    return unit.select(
+        "doc_id", F.round(V.l2_norm("embedding"), 4).alias("norm"), F.size("embedding").cast("long").alias("dim")
+    )
 
 
 def resolve_foods(spark, sf_dir):

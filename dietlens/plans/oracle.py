@@ -119,7 +119,7 @@ summary AS (
 SEVERITY = "['info', 'minor', 'moderate', 'severe']"
 
 QUESTIONS = f"""questions AS (
-  SELECT conv_id * 1000 + turn AS query_id, regexp_extract({norm('text')}, '{WORD}+') AS drug_name,
+  SELECT conv_id * 1000 + turn AS query_id, nullif(regexp_extract({norm('text')}, '{WORD}+'), 'the') AS drug_name,
          nullif(role, 'system') AS food, text AS interaction_text FROM conversations),
 vocabulary AS (SELECT DISTINCT lower(regexp_extract({norm('text')}, '{WORD}+')) AS drug_key FROM documents)"""
 
@@ -186,6 +186,24 @@ def touches(a: str, b: str) -> str:
     return f"abs({a}.cx - {b}.cx) <= 1 AND abs({a}.cy - {b}.cy) <= 1"
 
 
+DENSITY = f"""WITH RECURSIVE {PLANE},
+cells AS (SELECT cx, cy, count(*) AS n FROM celled GROUP BY cx, cy),
+core AS (SELECT * FROM cells WHERE n >= {C.MIN_POINTS}),
+reach AS (
+  SELECT cx, cy, cx AS rx, cy AS ry FROM core
+  UNION SELECT c.cx, c.cy, r.rx, r.ry FROM reach r JOIN core c ON {touches('r', 'c')}),
+roots AS (SELECT cx, cy, min(rx * 1000000 + ry) AS root FROM reach GROUP BY cx, cy),
+members AS (
+  SELECT cx, cy, root FROM roots
+  UNION ALL SELECT c.cx, c.cy, min(r.root) FROM cells c JOIN roots r ON {touches('c', 'r')} WHERE c.n < {C.MIN_POINTS} GROUP BY c.cx, c.cy),
+kept AS (
+  SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster
+  FROM members JOIN cells USING (cx, cy) GROUP BY root HAVING sum(n) >= {C.MIN_SIZE}),
+found AS (
+  SELECT p.row_id, p.label, coalesce(k.cluster, -1)::BIGINT AS cluster
+  FROM celled p LEFT JOIN members m USING (cx, cy) LEFT JOIN kept k USING (root))"""
+
+
 ORACLE = {
     "severity_counts": f"WITH {LINES} SELECT {rule(norm('interaction_text'))} AS severity, count(*) AS n FROM lines GROUP BY 1",
     "explode_lines": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, interaction_text FROM lines",
@@ -306,10 +324,10 @@ FROM summary ORDER BY summary.macro_f1 DESC, summary.accuracy DESC, k LIMIT 1"""
     <= floor(0.2 * count(*) OVER (PARTITION BY quality) + 0.5) AS is_test FROM labels""",
     "injectable_set": f"WITH {INJECTABLES} SELECT drug_key FROM injectables",
     "unknown_drugs": f"""WITH {QUESTIONS}
-SELECT query_id, drug_name, lower(drug_name) IN (SELECT drug_key FROM vocabulary) AS known FROM questions""",
+SELECT query_id, drug_name, coalesce(lower(drug_name) IN (SELECT drug_key FROM vocabulary), false) AS known FROM questions""",
     "relevance_check": f"""WITH {QUESTIONS}, reasons AS (
   SELECT *, CASE
-    WHEN length(drug_name) < 2 OR length(coalesce(food, '')) < 2 THEN 'missing_drug_or_food'
+    WHEN length(coalesce(drug_name, '')) < 2 OR length(coalesce(food, '')) < 2 THEN 'missing_drug_or_food'
     WHEN {any_of('lower(interaction_text)', C.OFF_TOPIC)} OR {any_of('lower(food)', C.OFF_TOPIC)} OR {any_of('lower(drug_name)', C.OFF_TOPIC)} THEN 'irrelevant_domain'
     WHEN lower(drug_name) NOT IN (SELECT drug_key FROM vocabulary) THEN 'unknown_drug'
     WHEN len(list_filter(string_split({norm('interaction_text')}, ' '), lambda w: w <> '')) < 3 THEN 'low_context'
@@ -345,21 +363,13 @@ SELECT query_id, CASE WHEN notes = '' THEN core ELSE core || chr(10) || chr(10)
     "plot_bins": f"""WITH {PLANE}, codes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM plane))
 SELECT floor(x / {C.BIN})::BIGINT AS x_bin, floor(y / {C.BIN})::BIGINT AS y_bin, label::BIGINT AS label, code, count(*) AS n
 FROM plane JOIN codes USING (label) GROUP BY ALL""",
-    "density_clusters": f"""WITH RECURSIVE {PLANE},
-cells AS (SELECT cx, cy, count(*) AS n FROM celled GROUP BY cx, cy),
-core AS (SELECT * FROM cells WHERE n >= {C.MIN_POINTS}),
-reach AS (
-  SELECT cx, cy, cx AS rx, cy AS ry FROM core
-  UNION SELECT c.cx, c.cy, r.rx, r.ry FROM reach r JOIN core c ON {touches('r', 'c')}),
-roots AS (SELECT cx, cy, min(rx * 1000000 + ry) AS root FROM reach GROUP BY cx, cy),
-members AS (
-  SELECT cx, cy, root FROM roots
-  UNION ALL SELECT c.cx, c.cy, min(r.root) FROM cells c JOIN roots r ON {touches('c', 'r')} WHERE c.n < {C.MIN_POINTS} GROUP BY c.cx, c.cy),
-kept AS (
-  SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster
-  FROM members JOIN cells USING (cx, cy) GROUP BY root HAVING sum(n) >= {C.MIN_SIZE})
-SELECT p.row_id, coalesce(k.cluster, -1)::BIGINT AS cluster
-FROM celled p LEFT JOIN members m USING (cx, cy) LEFT JOIN kept k USING (root)""",
+    "density_clusters": f"{DENSITY} SELECT row_id, cluster FROM found",
+    "clustering_summary": f"""{DENSITY},
+label_pairs AS (SELECT label || ':' || count(*) AS pair FROM found GROUP BY label),
+density_pairs AS (SELECT cluster || ':' || count(*) AS pair FROM found GROUP BY cluster)
+SELECT (SELECT string_agg(pair, '|' ORDER BY pair) FROM label_pairs) AS label_sizes,
+       (SELECT string_agg(pair, '|' ORDER BY pair) FROM density_pairs) AS density_sizes,
+       {C.EPS}::DOUBLE AS eps, {C.MIN_POINTS}::BIGINT AS min_points, 'euclidean' AS metric""",
     "density_off": "SELECT vec_id AS row_id, (-1)::BIGINT AS cluster FROM embeddings",
     "json_round_trip": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, interaction_text FROM lines",
     "csv_round_trip": "SELECT doc_id, source, nullif(lang, 'en') AS food, md5(text) AS text FROM documents",
@@ -373,4 +383,7 @@ reasons AS (
     WHEN {any_of('lower(t)', C.OFF_TOPIC)} OR {any_of('lower(food)', C.OFF_TOPIC)} THEN 'irrelevant_domain'
     WHEN drug NOT IN (SELECT lower(source) FROM documents) THEN 'unknown_drug' ELSE 'ok' END AS relevance_reason FROM asked)
 SELECT relevance_reason = 'ok' AS relevant, relevance_reason, count(*) AS n FROM reasons GROUP BY ALL""",
+    "encode_text": f"""SELECT doc_id,
+  CASE WHEN len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+  {C.TFIDF_SIZE}::BIGINT AS dim FROM documents""",
 }

@@ -21,8 +21,10 @@ def flatten_records(records: DataFrame) -> DataFrame:
     other columns of `records`, such as a key, are kept.
     """
     carried = [c for c in records.columns if c not in ("name", "reference", "food_interactions")]
+    # The outer form spares the filter on the whole list that Spark puts before an inner one; the
+    # rows it adds have no text.
     exploded = records.select(
-        *carried, "name", "reference", F.posexplode("food_interactions").alias("text_pos", "_text")
+        *carried, "name", "reference", F.posexplode_outer("food_interactions").alias("text_pos", "_text")
     )
     return exploded.filter(is_not_blank("_text")).select(
         *carried,

@@ -43,6 +43,16 @@ def test_against_brute_force_with_a_third_of_copies(spark, blocked):
     assert found(knn.nearest(queries, corpus, 10, **options)) == brute(qs, rows, 10)
 
 
+def test_more_queries_than_corpus_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4)) for i in range(40)] + [(40 + i, [1, 0, 0, 0]) for i in range(20)]
+    qs = [(i, rng.normal(size=4)) for i in range(200)] + [(900, [1, 0, 0, 0])]
+    corpus, queries = tables(spark, rows, qs)
+    got = knn.nearest(queries, corpus, 7, broadcast_bytes=8 * 4 * 60)
+    assert found(got) == brute(qs, rows, 7)
+    assert "Exchange" not in got.select("query_id")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
 def test_many_batches_in_one_partition(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=4)) for i in range(300)] + [(300 + i, [1, 0, 0, 0]) for i in range(200)]
