@@ -17,6 +17,10 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def total(vector: Column | str) -> Column:
+    return F.aggregate(_doubles(vector), F.lit(0.0), lambda t, x: t + x)
+
+
 def l2_norm(vector: Column | str) -> Column:
     return F.sqrt(dot(vector, vector))
 

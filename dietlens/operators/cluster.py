@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
@@ -47,15 +48,22 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def clustering_summary(df: DataFrame, clusters: list[str], **facts) -> DataFrame:
-    """One row: the parameters given and, per cluster column, a map from cluster id to size."""
-    sizes = None
-    for name in clusters:
-        counts = df.groupBy(F.col(name).cast("string").alias("id")).agg(F.count("*").alias("n"))
-        one = counts.agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "n")))).alias(f"{name}_sizes")
-        ).withColumn("_one", F.lit(1))
-        sizes = one if sizes is None else sizes.join(one, "_one")
-    return sizes.drop("_one").select("*", *[F.lit(v).alias(k) for k, v in facts.items()])
+    """One row: the parameters given and, per cluster column, a map from cluster id to size.
+
+    The maps hold one entry per cluster; for great numbers of clusters use `cluster_sizes`.
+    """
+    counts = [
+        df.groupBy(F.col(name).cast("string").alias("id")).agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        for name in clusters
+    ]
+    pairs = F.struct("id", "n")
+    return reduce(DataFrame.unionByName, counts).agg(
+        *[
+            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name") == name, pairs)))).alias(f"{name}_sizes")
+            for name in clusters
+        ],
+        *[F.lit(value).alias(name) for name, value in facts.items()],
+    )
 
 
 def plot_bins(df: DataFrame, x: str, y: str, label: str, width: float, row_key: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from dietlens.constants import (
 )
 from dietlens.functions.severity import classify_severity, final_label, label_from_answer
 from dietlens.functions.text import (
-    WORD, as_column, extract_terms, is_low_information, join_terms, normalize_text, parse_food_list, sorted_distinct,
+    WORD, as_column, enumeration_items, extract_terms, is_low_information, join_terms, normalize_text, parse_food_list, sorted_distinct,
 )
 from dietlens.session import BROADCAST_ROWS, lookup_join, materialize, small_or_none
 
@@ -52,6 +52,19 @@ def match_terms_by_join(df: DataFrame, key: str, text: str, lexicon: DataFrame)
     return lookup_join(candidates, terms, "term", [key], how="inner").select(key, "term")
 
 
+def extract_with_lexicon_table(
+    df: DataFrame, key: str, text: str, lexicon: DataFrame, markers: Iterable[str] = ENUMERATION_MARKERS
+) -> DataFrame:
+    """Adds `food_entities` like `extract_terms`, for a lexicon table of any size.
+
+    Only the bare matches are grouped, and a group holds the distinct terms of one text.
+    """
+    found = match_terms_by_join(df, key, text, lexicon).groupBy(key).agg(F.collect_list("term").alias("_found"))
+    known = F.coalesce("_found", F.array().cast("array<string>"))
+    items = enumeration_items(normalize_text(text), markers)
+    return df.join(found, key, "left").withColumn("food_entities", sorted_distinct(F.concat(known, items))).drop("_found")
+
+
 def flatten_terms(df: DataFrame, terms: str, food: str = "food") -> DataFrame:
     """One row per listed term; an empty or null list gives one row with a null food."""
     kept = [c for c in df.columns if c != terms]
@@ -111,11 +124,14 @@ def extract_with_answers(
     generic: Iterable[str] = GENERIC_TERMS,
     budget: int = EXTRACTION_BUDGET,
 ) -> DataFrame:
-    """Adds `food_entities` and `food_entities_str`.
+    """Adds `food_entities` and `food_entities_str`; a `food_entities` column already there is used.
 
     Rows whose rule-based list says little take their answer's list in as well, within the budget.
     """
-    ruled = df.withColumn("food_entities", extract_terms(text, lexicon, markers))
+    kept = [c for c in df.columns if c != "food_entities"]
+    ruled = df
+    if "food_entities" not in df.columns:
+        ruled = df.withColumn("food_entities", extract_terms(text, lexicon, markers))
     if answers is not None:
         # Read twice from here on, and dear to compute.
         ruled = materialize(ruled, "extracted")
@@ -125,7 +141,7 @@ def extract_with_answers(
         ruled = (
             _join_usable(ruled, usable, key, budget)
             .withColumn("food_entities", sorted_distinct(F.array_union("food_entities", extra)))
-            .select(*df.columns, "food_entities")
+            .select(*kept, "food_entities")
         )
     return ruled.withColumn("food_entities_str", join_terms("food_entities"))
 

@@ -96,6 +96,22 @@ def lexicon_match_join(spark, sf_dir):
     )
 
 
+def lexicon_file(spark, sf_dir):
+    """A lexicon file with the words of `benchmark` added to built-in terms."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("value"))
+    path = new_path(spark, "lexicon")
+    words.write.text(path)
+    return records.load_lexicon(spark, path, LEXICON)
+
+
+def extract_terms_join(spark, sf_dir):
+    """Terms and listed items with a lexicon table too large for one expression."""
+    word = F.explode(F.regexp_extract_all(T.normalize_text("text"), F.lit(f"({T.WORD}+)"), F.lit(1)))
+    lexicon = table(spark, sf_dir, "benchmark").select(word.alias("term")).distinct()
+    found = extract.extract_with_lexicon_table(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, MARKERS)
+    return found.select("doc_id", F.md5(T.join_terms("food_entities")).alias("terms"))
+
+
 def enumeration_extract(spark, sf_dir):
     items = T.enumeration_items(T.normalize_text("text"), MARKERS)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(items, "|").alias("items"))
@@ -599,9 +615,9 @@ def model_selection(spark, sf_dir):
     reports = new_path(spark, "reports")
     store.write_text_per_name(metrics.report_text(counts, scores), reports, "model", "report")
     queries = _vectors(spark, sf_dir).withColumnRenamed("row_id", "query_id")
-    scored = models.classify(models.load_model(path), queries).groupBy("classifier_pred").count().agg(F.sum("count").alias("classified"))
+    classified = models.classify(models.load_model(path), queries).filter(F.col("classifier_pred").isNotNull()).count()
     lines_read = spark.read.text(reports).groupBy("model").agg(F.count("*").alias("report_lines"))
-    return lines_read.withColumn("best", F.lit(name)).withColumn("_one", F.lit(1)).join(scored.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return lines_read.withColumn("best", F.lit(name)).withColumn("classified", F.lit(classified))
 
 
 # Round trips through the sources and sinks
@@ -649,8 +665,8 @@ def vector_store_round_trip(spark, sf_dir):
     keys.check_alignment(vectors, back, "row_id")
     store.write_metadata(store.vector_metadata(back, metric="cosine"), meta_path)
     meta = store.read_metadata(spark, meta_path, "num_rows LONG, embedding_dim LONG, metric STRING")
-    total = back.select(F.posexplode("embedding").alias("pos", "x")).agg(F.round(F.sum(F.col("x").cast("double")), 4).alias("total"))
-    return meta.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    total = back.agg(F.sum(V.total("embedding"))).first()[0]
+    return meta.withColumn("total", F.round(F.lit(total), 4))
 
 
 # The whole job
@@ -744,7 +760,8 @@ def explanations_csv(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        severity_counts, explode_lines, normalize_text, lexicon_match, lexicon_match_join, enumeration_extract,
+        severity_counts, explode_lines, normalize_text, lexicon_file, lexicon_match, lexicon_match_join,
+        extract_terms_join, enumeration_extract,
         extract_terms, low_information, flatten_terms, severity_label, final_label, extract_with_answers,
         unresolved_prompts, parse_food_list, embedding_text, head_rows,
         row_key, alignment, id_range_check, category_codes, vocabulary, vocabulary_counts,

@@ -214,6 +214,15 @@ SELECT doc_id, array_to_string(list_sort({hits('n')}), '; ') AS terms FROM n""",
     "lexicon_match_join": f"""WITH lexicon AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '{WORD}+')) AS term FROM benchmark),
 words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({norm('text')}, '{WORD}+')) AS term FROM documents)
 SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM words JOIN lexicon USING (term) GROUP BY doc_id""",
+    "lexicon_file": f"""WITH words AS (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark),
+parts AS (SELECT lower({strip('unnest(string_split(w, chr(10)))')}) AS term FROM words)
+SELECT term FROM parts WHERE term <> '' UNION SELECT unnest([{', '.join(q(t) for t in C.LEXICON)}])""",
+    "extract_terms_join": f"""WITH lexicon AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '{WORD}+')) AS term FROM benchmark),
+normed AS (SELECT doc_id, {norm('text')} AS n FROM documents),
+words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(n, '{WORD}+')) AS term FROM normed),
+known AS (SELECT doc_id, list(term) AS terms FROM words JOIN lexicon USING (term) GROUP BY doc_id)
+SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_concat(coalesce(terms, []), {items('n')}))), '; ')) AS terms
+FROM normed LEFT JOIN known USING (doc_id)""",
     "enumeration_extract": f"""WITH n AS (SELECT doc_id, {norm('text')} AS n FROM documents)
 SELECT doc_id, array_to_string({items('n')}, '|') AS items FROM n""",
     "extract_terms": f"WITH {TERMS} SELECT doc_id, text_pos, array_to_string(foods, '; ') AS food_entities_str FROM found",

@@ -102,3 +102,11 @@ def load_lexicon(spark: SparkSession, path: str | None = None, terms: list[str]
             extra = extra.filter(is_not_blank("value")).select(F.lower(strip("value")).alias("term"))
             lexicon = lexicon.unionByName(extra)
     return lexicon.distinct()
+
+
+def lexicon_terms(lexicon: DataFrame, most: int = 2000) -> list[str]:
+    """The terms of a small lexicon, for `extract_terms`; a larger one goes to `extract_with_lexicon_table`."""
+    terms = [r.term for r in lexicon.select("term").limit(most + 1).collect()]
+    if len(terms) > most:
+        raise ValueError(f"more than {most} terms: use extract_with_lexicon_table")
+    return sorted(terms)

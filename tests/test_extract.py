@@ -1,11 +1,12 @@
 import re
 
+import pytest
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from dietlens.functions.text import lexicon_hits, normalize_text
+from dietlens.functions.text import extract_terms, lexicon_hits, normalize_text
 from dietlens.operators import extract as X
-from dietlens.sources.records import split_lines
+from dietlens.sources.records import lexicon_terms, load_lexicon, split_lines
 
 
 def test_terms_by_join_equal_terms_by_pattern(spark, sf_dir):
@@ -37,6 +38,24 @@ def test_terms_by_join_against_python(spark, texts):
     assert {tuple(r) for r in hits} == wanted
 
 
+def test_lexicon_file_to_terms_and_table_form(spark, tmp_path):
+    path = tmp_path / "extra.txt"
+    path.write_text("Figs\nDate palm\n")
+    lexicon = load_lexicon(spark, str(path))
+    df = spark.createDataFrame(
+        [(0, "figs, tea and a date palm such as Medjool or figs"), (1, "nothing"), (2, None)], "k LONG, t STRING"
+    )
+    small = df.withColumn("food_entities", extract_terms("t", lexicon_terms(lexicon)))
+    wanted = [["date palm", "figs", "medjool", "tea"], []]
+    assert [r.food_entities for r in small.orderBy("k").collect()][:2] == wanted
+    large = X.extract_with_lexicon_table(df, "k", "t", lexicon)
+    assert [r.food_entities for r in large.orderBy("k").collect()][:2] == wanted
+    given = X.extract_with_answers(large, "t", ["k"], ["k"]).orderBy("k").collect()
+    assert given[0].food_entities_str == "date palm; figs; medjool; tea"
+    with pytest.raises(ValueError):
+        lexicon_terms(lexicon, 10)
+
+
 def test_flatten(spark):
     df = spark.createDataFrame([(0, ["a", "a", "b"]), (1, []), (2, None)], "i INT, foods ARRAY<STRING>")
     got = sorted((r.i, r.food or "") for r in X.flatten_terms(df, "foods").collect())
