@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 EMBEDDING_SIZE = 768
 BATCH_SIZE = 64
+_INPUT = "_document"
 
 # An encoder adds a unit-length `array<float>` column: encoder(df, text column, output column).
 Encoder = Callable[[DataFrame, str, str], DataFrame]
@@ -22,29 +23,21 @@ Encoder = Callable[[DataFrame, str, str], DataFrame]
 def fit_tfidf(df: DataFrame, text: str, size: int = EMBEDDING_SIZE) -> PipelineModel:
     """Tokenizer, hashed term counts, document frequencies of `df`, unit length."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+"),
+        RegexTokenizer(inputCol=_INPUT, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=size),
         IDF(inputCol="_counts", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(df.select(text))
+    return Pipeline(stages=stages).fit(df.select(F.coalesce(text, F.lit("")).alias(_INPUT)))
 
 
 def tfidf_encoder(model: PipelineModel) -> Encoder:
-    """Encoder from a fitted model; any text column may be encoded."""
-    text_col = model.stages[0].getInputCol()
+    """Encoder from a fitted model; null text is encoded as ''."""
 
     def encode(df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
-        named = df.withColumn("_text", F.col(text))
-        if text_col in named.columns and text_col != text:
-            named = named.withColumnRenamed(text_col, "_kept")
-        named = named.withColumn(text_col, F.coalesce("_text", F.lit("")))
-        encoded = model.transform(named).withColumn(output, vector_to_array("_unit", "float32"))
-        if "_kept" in encoded.columns:
-            encoded = encoded.drop(text_col).withColumnRenamed("_kept", text_col)
-        elif text_col in df.columns:
-            encoded = encoded.withColumn(text_col, F.col("_text"))
-        return encoded.select(*[c for c in df.columns if c != output], output)
+        encoded = model.transform(df.withColumn(_INPUT, F.coalesce(text, F.lit(""))))
+        kept = [c for c in df.columns if c != output]
+        return encoded.select(*kept, vector_to_array("_unit", "float32").alias(output))
 
     return encode
 

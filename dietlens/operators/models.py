@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from dietlens.constants import SEED
 from dietlens.operators.encode import features
 from dietlens.operators.metrics import best_model, confusion, summary_scores
-from dietlens.operators.split import add_class_weight, check_splittable, stratified_split
-from dietlens.session import materialize
+from dietlens.operators.split import check_splittable, class_weights, stratified_split
+from dietlens.session import lookup_join, materialize
 
 _COLUMNS = {"featuresCol": "features", "labelCol": "label_index", "predictionCol": "prediction"}
 
@@ -49,17 +49,19 @@ def default_estimators(inputs: int, classes: int) -> dict:
 def prepare_training(
     rows: DataFrame, label: str = "severity", key: str = "row_id", vector: str = "embedding"
 ) -> DataFrame:
-    """(key, label, features, is_test, weight), written once because every estimator rereads it.
+    """(key, label, features, is_test, weight) from rows written once, which all later passes read.
 
-    The class weights come from the training rows.
+    Training rows get the balanced weight of their class among the training rows, test rows get 1.
     """
-    check_splittable(rows, label)
-    slim = rows.select(key, F.col(label).cast("string").alias(label), vector)
+    slim = materialize(rows.select(key, F.col(label).cast("string").alias(label), vector), "training")
+    check_splittable(slim, label)
     split = stratified_split(slim, label, key)
-    train = add_class_weight(split.filter(~F.col("is_test")), label, [key])
-    test = split.filter("is_test").withColumn("weight", F.lit(1.0))
-    stored = materialize(train.unionByName(test), "training")
-    return stored.withColumn("features", features(vector)).drop(vector)
+    weights = class_weights(split.filter(~F.col("is_test")).select(label), label).select(label, "weight")
+    weighted = lookup_join(split, weights, label, [key])
+    return weighted.select(
+        key, label, features(vector).alias("features"), "is_test",
+        F.when(F.col("is_test"), 1.0).otherwise(F.col("weight")).alias("weight"),
+    )
 
 
 def fit(train: DataFrame, estimator, label: str = "severity") -> PipelineModel:
