@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from dietlens.functions.vectors import similarity_from_distance
 from dietlens.operators.keys import check_ids
-from dietlens.session import BROADCAST_BYTES
+from dietlens.session import BROADCAST_BYTES, small_or_none
 
 BLOCK_ROWS = 8192
 _PLACES = 12
@@ -240,9 +240,23 @@ def nearest(
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*columns)
 
 
-def attach_rows(neighbors: DataFrame, rows: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """The corpus columns of every neighbour."""
-    return neighbors.join(rows, row_id)
+def attach_rows(neighbors: DataFrame, rows: DataFrame, row_id: str = "row_id", hot: int = 100_000) -> DataFrame:
+    """The corpus columns of every neighbour. `neighbors` is read more than once: pass a written table.
+
+    A row may be the neighbour of very many queries, as when they are copies. Rows met more than
+    `hot` times are joined in several parts; all others as they are.
+    """
+    met = neighbors.groupBy(row_id).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot)
+    parts = small_or_none(met.select(row_id, F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
+    if parts is None or parts.isEmpty():
+        return neighbors.join(rows, row_id)
+    left = neighbors.join(F.broadcast(parts), row_id, "left").withColumn(
+        "_part", F.coalesce(F.pmod(F.xxhash64(*neighbors.columns), F.col("_parts")).cast("int"), F.lit(0))
+    )
+    right = rows.join(F.broadcast(parts), row_id, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    )
+    return left.drop("_parts").join(right.drop("_parts"), [row_id, "_part"]).drop("_part")
 
 
 def nearest_by_row_id(ids: DataFrame, corpus: DataFrame, k: int = 5, row_id: str = "row_id", vector: str = "embedding") -> DataFrame:

@@ -91,7 +91,7 @@ def encode_queries(queries: DataFrame, encoder: Encoder, food: str = "food") ->
 
 def retrieve(encoded: DataFrame, corpus: Corpus, k: int = K_NEIGHBORS) -> DataFrame:
     """(query_id, rank, distance, similarity, corpus columns) of the k nearest rows."""
-    return attach_rows(nearest(encoded, corpus.vectors, k), corpus.rows)
+    return attach_rows(materialize(nearest(encoded, corpus.vectors, k), "nearest"), corpus.rows)
 
 
 def zero_shot_severity(queries: DataFrame, corpus: Corpus, k: int = K_NEIGHBORS) -> DataFrame:

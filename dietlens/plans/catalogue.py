@@ -239,7 +239,7 @@ def _vectors(spark, sf_dir):
 def _neighbors(spark, sf_dir, k=K):
     """All vectors as queries against all vectors, each neighbour with its label."""
     vectors = _vectors(spark, sf_dir)
-    found = knn.nearest(vectors.withColumnRenamed("row_id", "query_id"), vectors, k)
+    found = materialize(knn.nearest(vectors.withColumnRenamed("row_id", "query_id"), vectors, k), "nearest")
     return knn.attach_rows(found, vectors.select("row_id", F.col("label").alias("severity")))
 
 
@@ -279,7 +279,7 @@ def knn_blocked(spark, sf_dir):
 def knn_by_id(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")).join(vectors, "row_id", "left_semi")
-    found = knn.nearest_by_row_id(ids, vectors, K)
+    found = materialize(knn.nearest_by_row_id(ids, vectors, K), "nearest")
     return knn.attach_rows(_ranked(found), vectors.select("row_id", "label")).select(
         "query_id", "rank", "row_id", "label", "distance"
     )
@@ -465,6 +465,7 @@ def _reasoned(spark, sf_dir):
     voted = vote.neighbor_vote(neighbors).select(
         "query_id", F.col("neighbor_pred").alias("final_severity"), F.round("neighbor_confidence", 6).alias("confidence")
     )
+    neighbors = materialize(neighbors, "neighbors")
     lists = knn.neighbor_lists(knn.attach_rows(neighbors, corpus))
     return (
         documents.select(F.col("doc_id").alias("query_id"), "drug_name", F.col("lang").alias("food"), F.col("text").alias("interaction_text"))

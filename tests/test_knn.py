@@ -92,6 +92,15 @@ def test_no_queries_and_no_corpus(spark):
     assert knn.nearest(queries, corpus.filter("false"), 3).count() == 0
 
 
+def test_hot_neighbours_are_joined_in_parts(spark):
+    pairs = [(q, 1, 0 if q % 3 == 0 else q) for q in range(900)]
+    neighbors = spark.createDataFrame(pairs, "query_id LONG, rank INT, row_id LONG")
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), F.concat(F.lit("t"), "id").alias("text"))
+    for hot in (10, 100_000):
+        got = sorted(tuple(r) for r in knn.attach_rows(neighbors, rows, hot=hot).select("query_id", "rank", "row_id", "text").collect())
+        assert got == [(q, k, r, f"t{r}") for q, k, r in pairs]
+
+
 def test_expression_form_agrees(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), "embedding")
     ids = emb.select("row_id").filter("row_id in (0, 3, 77)")
