@@ -61,17 +61,20 @@ def hot_limit(n_rows: int) -> int:
     return max(HOT_LEAST, int(n_rows * HOT_SHARE))
 
 
-def join_counted(rows: DataFrame, lookup: DataFrame, on: Sequence[str], count: str, n_rows: int) -> DataFrame:
+def join_counted(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], count: str, n_rows: int, narrow: Column | None = None
+) -> DataFrame:
     """Inner join of `rows` with `lookup`, which holds each key once and in `count` how many of the rows have it.
 
     Keys with more than `hot_limit(n_rows)` rows are at most 1 / HOT_SHARE by arithmetic, so these are broadcast and
     their rows are not shuffled. The rest is joined by shuffle, where no key holds more than that limit.
+    Rows of `lookup` that fail `narrow` are never broadcast; hot ones among them are left to AQE's split of skewed joins.
     Keys must not be null. Both inputs are read twice: pass written tables.
     """
     on = list(on)
     limit = hot_limit(n_rows)
-    hot = lookup.filter(F.col(count) > limit)
-    cold = lookup.filter(F.col(count) <= limit)
+    is_hot = (F.col(count) > limit) & (F.lit(True) if narrow is None else narrow)
+    hot, cold = lookup.filter(is_hot), lookup.filter(~is_hot)
     return rows.join(F.broadcast(hot), on).unionByName(
         rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     )

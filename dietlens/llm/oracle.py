@@ -34,4 +34,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM b
 """
 
-ORACLE = {"op8_quality_rules": QUALITY}
+DEDUP = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                  sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER o = 1 AS kept, text_sha256
+FROM d WINDOW o AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+ORACLE = {"op9_exact_dedup": DEDUP, "op8_quality_rules": QUALITY}

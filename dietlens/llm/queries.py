@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import quality
+from dietlens.llm import dedup, quality
 from dietlens.llm.common import table
 
 
@@ -17,6 +17,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, representative and verdict of every document."""
+    return dedup.dedupe(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_exact_dedup": op9_exact_dedup,
 }
