@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import dedup, quality, simhash
+from dietlens.llm import dedup, mixing, quality, simhash
 from dietlens.llm.common import table
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, base verdict and the verdict of the threshold table of every document."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -31,6 +37,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
 }
