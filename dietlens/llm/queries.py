@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import dedup, mixing, quality, simhash
+from dietlens.llm import bpe, dedup, mixing, quality, simhash
 from dietlens.llm.common import table
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Number and digest of the ids of each document, and the digest of the text decoded from them."""
+    vocabulary = bpe.load(path or public_tokenizers.path("byte_bpe_50k.json"))
+    decoded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary, keep=["doc_id", "ids"])
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, target and words taken of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -37,6 +55,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
