@@ -28,21 +28,21 @@ def fresh(label: str) -> str:
     return f"_{label}_{uuid.uuid4().hex[:8]}"
 
 
+def count_chars(text: Column, chars: str) -> Column:
+    """How many characters of the text are among `chars`; null for null."""
+    listed = "".join("\\" + c if c in "\\^-[]&|" else c for c in chars)
+    return F.regexp_count(text, F.lit(f"[{listed}]"))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other characters than BLANKS, in order; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")
 
 
 def count_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def squeezed(text: Column) -> Column:
-    """The text without BLANKS; empty for null."""
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
-
-
 def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """`df` with two more columns that identify each row, and their names.
 

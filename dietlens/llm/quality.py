@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dietlens.functions.text import let
-from dietlens.llm.common import squeezed, words
+from dietlens.llm.common import BLANKS, count_chars, words
 
 # Frequent function words of the languages that the rules know. Fixed values.
 STOP_WORDS = {
@@ -53,46 +53,65 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = [*BASE, "n_lines", "n_marks", "n_stop_words"]
 
 
-def _count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def _repeated_words(tokens: Column) -> Column:
     """Words that lie in a 3-word window found more than once. `tokens` must be bound by `let`.
 
-    Windows are sorted with their places, so that equal ones are neighbours; n log n at any length.
+    Windows are sorted by the upper bits of a hash, with their places in the lower bits: windows found more than once are among
+    those with an equal neighbour. Only these are written out, sorted with their places and compared. n log n at any length.
     """
-    windows = F.transform(tokens, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(tokens, i + 1), F.get(tokens, i + 2)).alias("s"), i.alias("i")))
-    windows = F.slice(windows, F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(0)))
+    n = F.size(tokens) - 2
+    upper = F.call_function("shiftleft", F.lit(-1).cast("long"), F.length(F.bin(n)))
+
+    def window(place: Column) -> Column:
+        return F.concat_ws(" ", F.get(tokens, place), F.get(tokens, place + 1), F.get(tokens, place + 2))
+
+    def found_twice(hashes: Column, upper: Column) -> Column:
+        """Sorted places of the windows found more than once."""
+        marked = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(upper).bitwiseOR(i.cast("long"))))
 
-    def places(ordered: Column) -> Column:
-        def twice(window: Column, k: Column) -> Column:
-            before = (k > 0) & (F.get(ordered, k - 1)["s"] == window["s"])
-            return F.coalesce(before, F.lit(False)) | F.coalesce(F.get(ordered, k + 1)["s"] == window["s"], F.lit(False))
+        def near(m: Column, other: Column, x: Column) -> Column:
+            return F.get(m, other).bitwiseXOR(x).bitwiseAND(upper) == 0
 
-        return F.sort_array(F.transform(F.filter(ordered, twice), lambda w: w["i"]))
+        def candidates(m: Column) -> Column:
+            found = F.filter(m, lambda x, k: near(m, k + 1, x) | ((k > 0) & near(m, k - 1, x)))
+            return F.transform(found, lambda x: x.bitwiseAND(F.bitwise_not(upper)).cast("int"))
+
+        def twice(w: Column) -> Column:
+            return F.filter(w, lambda x, k: (F.get(w, k + 1)["s"] == x["s"]) | ((k > 0) & (F.get(w, k - 1)["s"] == x["s"])))
+
+        places = let(marked, candidates)
+        written = F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("s"), i.alias("i"))))
+        return F.sort_array(F.transform(let(written, twice), lambda x: x["i"]))
 
     def covered(starts: Column) -> Column:
         each = F.transform(starts, lambda at, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - at, F.lit(3))).cast("long"))
         return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    return let(F.sort_array(windows), lambda ordered: let(places(ordered), covered))
+    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)))
+
+    def count(h: Column) -> Column:
+        none = F.size(F.array_distinct(h)) == F.size(h)
+        return F.when(none, F.lit(0).cast("long")).otherwise(
+            let(let(upper, lambda bits: found_twice(h, bits)), covered)
+        )
+
+    return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
 def measures(text: Column, stop_words: Sequence[str]) -> Column:
     """A struct of MEASURES. A null text measures as an empty one."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(squeezed(line)) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
 
     def of(tokens: Column, kept: Column) -> Column:
         values = {
             "n_words": F.size(tokens),
-            "word_chars": F.length(squeezed(text)),
-            "n_symbols": _count_chars(text, SYMBOLS),
+            "word_chars": F.length(text) - count_chars(text, BLANKS),
+            "n_symbols": count_chars(text, SYMBOLS),
             "n_dup_lines": F.size(kept) - F.size(F.array_distinct(kept)),
             "n_repeat_words": _repeated_words(tokens),
             "n_lines": F.size(kept),
-            "n_marks": _count_chars(text, MARKS),
+            "n_marks": count_chars(text, MARKS),
             "n_stop_words": F.size(F.filter(tokens, lambda w: F.lower(w).isin(list(stop_words)))),
         }
         return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
