@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
+
+Quality rules, exact dedup, SimHash near-dedup, mixing to source weights, BPE encoding. Each stage calls one operator of
+`dietlens.llm` on all rows that the one before kept. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dietlens.llm import quality
-from dietlens.llm.common import identified, table
+from dietlens.llm import dedup, mixing, quality, simhash
+from dietlens.llm.common import table
+from dietlens.llm.queries import encoded
 from dietlens.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule lets pass, unchanged."""
+    """Documents that every quality rule lets pass."""
     return quality.kept_rows(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules)]
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose texts are equal without white space."""
+    return dedup.kept_rows(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near fingerprints."""
+    return simhash.kept_rows(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded."""
+    return encoded(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", source_mix),
+    ("BPE encoding", bpe_encoding),
+]
 
-#: SQL cannot express the encoder; the whole pipeline is tested against a brute-force version.
+#: SQL cannot express the fingerprints, the tilt and the encoder; the tests compare with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
