@@ -42,4 +42,13 @@ SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW o AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
-ORACLE = {"op9_exact_dedup": DEDUP, "op8_quality_rules": QUALITY}
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                  row_number() OVER () AS r FROM pages),
+g AS (SELECT *, first_value(page_id) OVER o AS first_id, row_number() OVER o > 1 AND payload_bytes >= 100 AS again
+      FROM p WINDOW o AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, r))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to FROM g
+"""
+
+ORACLE = {"op5_warc": WARC, "op9_exact_dedup": DEDUP, "op8_quality_rules": QUALITY}
