@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import bpe, dedup, mixing, quality, simhash, warc
+from dietlens.llm import bpe, dedup, mixing, quality, secrets, simhash, spans, warc
 from dietlens.llm.common import table
 
 
@@ -34,6 +34,24 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def _of(found: str, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _base(found: str, kinds: list[str]) -> Column:
+    return F.sha2(spans.listed(F.filter(found, lambda s: s["kind"].isin(kinds))).cast("binary"), 256)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through a fresh ledger."""
+    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE]
+    return found.select(
+        "doc_id", *[_of("found", k).alias(f"n_{k}") for k in kinds],
+        _base("found", kinds).alias("base_sha256"), spans.listed(F.col("found")).alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, target and words taken of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -62,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
+    "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,

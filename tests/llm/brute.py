@@ -38,3 +38,39 @@ def components(prints, radius=4):
     for i, (key, _) in enumerate(prints):
         least[root(i)] = min(key, least.get(root(i), key))
     return {key: least[root(i)] for i, (key, _) in enumerate(prints)}
+
+
+def spans(text, rules):
+    """(start, rank, end, kind) of the matches that a rule's check lets pass; rules: (kind, pattern, check)."""
+    out = []
+    for rank, (kind, pattern, check) in enumerate(rules):
+        out += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text or "") if check(m)]
+    return sorted(out)
+
+
+def listed(found):
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in found)
+
+
+SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+]
+
+
+def luhn(number):
+    values = [int(d) for d in reversed(number)]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(values)) % 10 == 0
+
+
+def only_digits(text):
+    return re.sub("[^0-9]", "", text)
+
+
+PRIVATE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(only_digits(m[0])) <= 19 and luhn(only_digits(m[0]))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(only_digits(m[0])) <= 15),
+]
