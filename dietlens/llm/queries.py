@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import bpe, dedup, mixing, quality, secrets, simhash, spans, warc
+from dietlens.llm import bpe, dedup, mixing, pii, quality, secrets, simhash, spans, warc
 from dietlens.llm.common import table
 
 
@@ -69,6 +69,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedupe(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those that the trained classifier adds."""
+    found, _ = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_of("base", k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(spans.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        spans.listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,6 +87,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,

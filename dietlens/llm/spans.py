@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dietlens.functions.text import let
 
-SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 _BLOCK = 64
 
 
@@ -33,22 +32,33 @@ def running_sums(values: Column) -> Column:
     return F.when(F.size(values) == 0, values).otherwise(let(cut, stitched))
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str, context: int = 0) -> Column:
     """The leftmost non-overlapping matches as an array of (start, end, text); `pattern` must not match the empty string.
 
     `split` gives what lies between the matches; the lengths of both, summed up, give the places. The end is exclusive. None
-    for a null text.
+    for a null text. With `context` also before and after: so many characters at most beside the match and up to the next one.
     """
 
-    def placed(found: Column) -> Column:
-        between = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap).cast("long"))
-        steps = F.transform(found, lambda m, k: F.length(m).cast("long"))
-        ends = let(between, lambda gaps: running_sums(F.zip_with(steps, F.slice(gaps, F.lit(1), F.size(found)), lambda a, b: a + b)))
-        return F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
+    def placed(found: Column, gaps: Column) -> Column:
+        steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.length(m).cast("long") + F.length(gap))
 
-    none = F.array().cast(SPAN)
+        def spans(ends: Column) -> Column:
+            def span(m: Column, k: Column) -> Column:
+                end = F.get(ends, k)
+                fields = [(end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")]
+                if context:
+                    fields += [F.right(F.get(gaps, k), F.lit(context)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(context)).alias("after")]
+                return F.struct(*fields)
+
+            return F.transform(found, span)
+
+        return let(running_sums(steps), spans)
+
+    none = F.array().cast(f"array<struct<start:bigint,end:bigint,text:string{',before:string,after:string' if context else ''}>>")
     matches = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-    return let(matches, lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
+    return let(matches, lambda found: F.when(F.size(found) == 0, none).otherwise(
+        let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))
+    ))
 
 
 def digits(text: Column) -> Column:
