@@ -35,10 +35,11 @@ _UNITS = re.compile(rf"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]?[^{SPACE}]+")
 _ODD = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
 
 MAX_FILE = 64 << 20
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
+ROWS = 512
 #: Distinct units and their ids that a worker remembers; beyond that it starts anew. This bounds memory only.
-MAX_UNITS = 1 << 20
-MAX_IDS = 1 << 24
+MAX_UNITS = 1 << 18
+MAX_IDS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -251,14 +252,22 @@ def _portions(texts: pa.Array) -> Iterator[list[str]]:
             at = cut
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def _decode(symbols: Sequence[bytes], ids: np.ndarray) -> str:
+    return b"".join(map(symbols.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: Sequence[str] = ("doc_id",), decoded: str | None = None
+) -> DataFrame:
     """Per row the `keep` columns and `ids`, the ids of the whole text. Strings with an id of their own become that id.
 
-    A null text counts as empty and has no ids. Rows are encoded one by one, so ties and repeated rows need no rule. An empty
-    table gives an empty table. Other columns are not read.
+    With `decoded`, a column of that name has the text decoded from the ids, without a second pass. A null text counts as empty
+    and has no ids. Rows are encoded one by one, so ties and repeated rows need no rule. An empty table gives an empty table.
+    Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most MAX_FILE bytes of JSON
     data = fresh("text")
+    names = [*keep, "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
@@ -266,13 +275,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep
             texts, done = batch.column(batch.num_columns - 1).cast(pa.string()), 0
             for portion in _portions(texts):
                 ids, ends = encoder.encode(portion)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-                kept = [c.slice(done, len(portion)) for c in batch.columns[:-1]]
+                starts = np.concatenate([[0], ends])
+                columns = [c.slice(done, len(portion)) for c in batch.columns[:-1]]
                 done += len(portion)
-                yield pa.RecordBatch.from_arrays([*kept, lists], names=[*keep, "ids"])
+                columns.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())))
+                if decoded:
+                    symbols = encoder.vocabulary.symbols
+                    columns.append(pa.array([_decode(symbols, ids[a:b]) for a, b in zip(starts, ends, strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(data))
-    return slim.mapInArrow(run, T.StructType([slim.schema[c] for c in keep]).add("ids", T.ArrayType(T.IntegerType())))
+    schema = T.StructType([slim.schema[c] for c in keep]).add("ids", T.ArrayType(T.IntegerType()))
+    return slim.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", keep: Sequence[str] = ("doc_id",), out: str = "decoded") -> DataFrame:
@@ -281,14 +295,14 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", keep:
     data = fresh("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = shared.value.__getitem__
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            texts = []
-            for k in range(len(lists)):
-                start, end = lists.offsets[k].as_py(), lists.offsets[k + 1].as_py()
-                texts.append(b"".join(map(symbol, lists.values[start:end].to_numpy().tolist())).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, out])
+            starts = lists.offsets.to_pylist()
+            for at in range(0, len(lists), ROWS):
+                spans = zip(starts[at : at + ROWS], starts[at + 1 : at + ROWS + 1], strict=False)
+                texts = [_decode(shared.value, lists.values[a:b].to_numpy()) for a, b in spans]
+                kept = [c.slice(at, ROWS) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=[*keep, out])
 
     empty = F.array().cast("array<int>")
     slim = rows.select(*keep, F.coalesce(F.col(ids_col), empty).alias(data))

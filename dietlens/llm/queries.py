@@ -8,15 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import bpe, dedup, mixing, pii, quality, secrets, simhash, spans, warc
+from dietlens.llm import bpe, dedup, html_text, mixing, pii, quality, secrets, simhash, spans, warc
 from dietlens.llm.common import table
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Number and digest of the ids of each document, and the digest of the text decoded from them."""
     vocabulary = bpe.load(path or public_tokenizers.path("byte_bpe_50k.json"))
-    decoded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary, keep=["doc_id", "ids"])
-    return decoded.select(
+    return bpe.encode(docs, vocabulary, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
@@ -69,6 +68,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedupe(table(spark, sf_dir, "documents"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans, and those that the trained classifier adds."""
     found, _ = pii.find(table(spark, sf_dir, "documents"))
@@ -87,6 +93,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
