@@ -95,7 +95,7 @@ class Page:
         ends = "stop" if text[-1] in ".!?…。\"'”»)" else "open"
         self.parent.append(block)
         self.region.append(None)
-        self.signs.append([f"length={min(12, len(words).bit_length())}", f"links={links}", f"ends={ends}"])
+        self.signs.append(["kind=run", f"length={min(12, len(words).bit_length())}", f"links={links}", f"ends={ends}"])
         self.text[len(self.parent) - 1] = text
 
     def _add(self, raw: str) -> None:
@@ -202,16 +202,17 @@ def counts(page: Page, states: Sequence[int]) -> Counter:
 
 #: Made-up shares by state (neutral, content, apart): what the names mean. Each table is the mean of these and of the counted shares,
 #: because labelled pages of one kind say nothing about what they never show.
-STEPS = {NEUTRAL: (60, 8, 32), CONTENT: (1, 84, 15), APART: (0.95, 0.05, 99)}
+STEPS = {NEUTRAL: (60, 8, 32), CONTENT: (1, 90, 9), APART: (0.95, 0.05, 99)}
 SIGNS = {
-    "kind=article": (0.01, 30, 0.01), "kind=apart": (0.01, 0.01, 60), "kind=heading": (5, 10, 8), "kind=text": (5, 60, 15), "kind=block": (80, 30, 60),
-    "words=apart": (0.01, 0.01, 60), "words=article": (10, 30, 2), "words=none": (80, 60, 60),
+    "kind=article": (0.01, 30, 0.01), "kind=apart": (0.01, 0.01, 60), "kind=heading": (1, 10, 6), "kind=text": (2, 60, 15), "kind=block": (80, 30, 60),
+    "kind=run": (2, 60, 60),
+    "words=apart": (0.01, 0.01, 60), "words=article": (4, 60, 0.5), "words=none": (80, 60, 60),
     "links=none": (60, 80, 50), "links=some": (10, 20, 10), "links=many": (10, 3, 20), "links=most": (10, 1, 60),
     "ends=stop": (30, 80, 30), "ends=open": (60, 20, 80), **{f"length={k}": (10, 10, 10) for k in range(1, 13)},
 }
 #: How far a sign may speak for one state over another, as a ratio. Names speak as loud as they are counted; form is
 #: damped, because the signs of a text, and of the texts beside it, say much the same.
-DAMPED = {"kind=text": 4.5, "kind=heading": 3.0, "kind=block": 3.0, "words=article": 8.0, "words=none": 2.0, "links": 20.0, "ends": 3.0, "length": 4.5}
+DAMPED = {"kind=text": 4.5, "kind=heading": 3.0, "kind=block": 3.0, "kind=run": 20.0, "words=article": 30.0, "words=none": 2.0, "links": 20.0, "ends": 3.0, "length": 4.5}
 
 
 class Model:
