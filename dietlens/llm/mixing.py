@@ -108,7 +108,7 @@ def solve(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def _diffuse(carried: Sequence[str], most: int):
-    """Copies of the rows of each run, in their order: the tokens taken follow the running sum of the rates."""
+    """Copies of the rows of each run, in descending size: the tokens taken follow the running sum of the rates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, wanted, taken = None, 0.0, 0
@@ -121,7 +121,9 @@ def _diffuse(carried: Sequence[str], most: int):
                     at, wanted, taken = (place, number, part), 0.0, 0
                 wanted += rate * size
                 least = int(rate)
-                copy = least if size == 0 or rate == least else min(most, max(least, min(least + 1, round((wanted - taken) / size))))
+                # One copy beside the rate's neighbours at most, so that small documents make up for what large ones leave over.
+                copy = round((wanted - taken) / size) if size else least
+                copy = max(0, least - 1, min(most, least + 2, copy))
                 copies[i] = copy
                 taken += copy * size
             yield pa.RecordBatch.from_arrays([*[column[c] for c in carried], pa.array(copies)], names=[*carried, "copies"])

@@ -74,3 +74,52 @@ PRIVATE = [
     ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(only_digits(m[0])) <= 19 and luhn(only_digits(m[0]))),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(only_digits(m[0])) <= 15),
 ]
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"""
+    text = text or ""
+    ws = tokens(text)
+    windows = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    often = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else _often(windows)
+    covered = {i + j for i, w in enumerate(windows) if w in often for j in range(3)}
+    lines = [line for line in text.split("\n") if tokens(line)]
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def _often(windows):
+    seen, twice = set(), set()
+    for w in windows:
+        (twice if w in seen else seen).add(w)
+    return twice
+
+
+def squeezed(text):
+    return BLANK.sub("", text or "")
+
+
+def exact(rows):
+    """{row number: (keep_id, group_size, kept)} of (id, text) rows."""
+    groups = {}
+    for k, (_, text) in enumerate(rows):
+        groups.setdefault(squeezed(text), []).append(k)
+    out = {}
+    for ks in groups.values():
+        first = min(ks, key=lambda k: (-len(rows[k][1] or ""), rows[k][0] is None, rows[k][0] or 0, k))
+        out |= {k: (rows[first][0], len(ks), k == first) for k in ks}
+    return out
+
+
+def targets(sizes):
+    """Target of each source of {source: tokens}."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = [s for s in names if s not in full]
+        share = total - 3 * sum(sizes[s] for s in full)
+        out = {s: 3.0 * sizes[s] for s in full} | {s: share * weight[s] / sum(weight[x] for x in left) for s in left}
+        above = {s for s in left if out[s] > 3 * sizes[s]}
+        if not above:
+            return out
+        full |= above
