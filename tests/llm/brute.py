@@ -53,7 +53,7 @@ def listed(found):
 
 
 SECRETS = [
-    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+    ("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
     ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
 ]
