@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from dietlens.llm.common import identified, join_counted
 from dietlens.llm.spans import find_all
-from dietlens.session import BROADCAST_ROWS, materialize, new_path
+from dietlens.session import materialize, new_path
+
+# Most unseen texts whose ids are broadcast.
+DELTA = 1_000
 
 
 @dataclass(frozen=True)
@@ -109,8 +112,8 @@ def scan(
     unseen = materialize(unseen.select("blob", "wanted", *[F.col("first")[c].alias(c) for c in row]), "unseen")
     n_scanned = unseen.count()
     if n_scanned:
-        # A small delta is broadcast, so that no text moves; a large one meets its texts by shuffle.
-        texts = whole.select(*row, "_text").join(F.broadcast(unseen) if n_scanned <= BROADCAST_ROWS else unseen.hint("merge"), row)
+        # A small delta is broadcast, so that no text moves; any other meets its texts by shuffle.
+        texts = whole.select(*row, "_text").join(F.broadcast(unseen) if n_scanned <= DELTA else unseen.hint("merge"), row)
         found = F.concat(*[_found(F.col("_text"), rule, F.col("wanted")) for rule in rules])
         scanned = texts.select("blob", F.col("wanted").alias("versions"), found.alias("found"))
         scanned.write.parquet(os.path.join(ledger, f"run={uuid.uuid4().hex}"))
