@@ -109,9 +109,7 @@ MECHANISM_WORDS = {
     "alcohol": ["alcohol", "ethanol"],
 }
 
-# Budgets and thresholds.
-EXTRACTION_BUDGET = 30
-LABELLING_BUDGET = 40
+# Thresholds.
 FOOD_SIMILARITY_THRESHOLD = 0.6
 HIGH_CONFIDENCE = 0.7
 MEDIUM_CONFIDENCE = 0.4

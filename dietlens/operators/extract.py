@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dietlens.constants import (
-    ENUMERATION_MARKERS, EXTRACTION_BUDGET, FOOD_LEXICON, GENERIC_TERMS, LABELLING_BUDGET, SEVERITY_PATTERNS,
+    ENUMERATION_MARKERS, FOOD_LEXICON, GENERIC_TERMS, SEVERITY_PATTERNS,
 )
 from dietlens.functions.severity import classify_severity, final_label, label_from_answer
 from dietlens.functions.text import (
     WORD, as_column, enumeration_items, extract_terms, is_low_information, join_terms, normalize_text, parse_food_list, sorted_distinct,
 )
-from dietlens.session import BROADCAST_ROWS, lookup_join, materialize, small_or_none
+from dietlens.session import lookup_join, materialize
 
 
 def _segments(text: Column) -> Column:
@@ -82,35 +82,23 @@ def sorted_vocabulary(df: DataFrame, column: str, name: str = "value") -> DataFr
 
 
 def usable_answers(
-    unresolved: DataFrame, answers: DataFrame, key: list[str], order_by: list[str], budget: int
+    answers: DataFrame,
+    key: list[str],
+    unresolved: DataFrame | None = None,
+    order_by: list[str] | None = None,
+    budget: int | None = None,
 ) -> DataFrame:
-    """(key, position, raw_response) of the answers that count.
+    """(key, raw_response) of the answers that count: those with status `ok`, one per key.
 
-    Only the first `budget` unresolved rows in row order may use an answer, and none from the first
-    row on whose answer has the status `quota`. A row without an answer gets a null response.
-    `answers` holds each key once, with `raw_response` and `status`.
+    Of several answers to one key the first in sort order counts. With a `budget`, only the first so many `unresolved` rows
+    in row order may use an answer; by default all may.
     """
+    given = answers.filter((F.col("status") == "ok") & F.col("raw_response").isNotNull())
+    given = given.groupBy(*key).agg(F.min("raw_response").alias("raw_response"))
+    if budget is None:
+        return given
     first = unresolved.select(*dict.fromkeys(key + order_by)).orderBy(*order_by).limit(budget)
-    # At most `budget` rows: kept aside, so that the unresolved rows are searched once and the
-    # answers need no shuffle.
-    small = small_or_none(first, budget) if budget <= BROADCAST_ROWS else None
-    first = materialize(first, "unresolved") if small is None else small
-    given = answers.select(*key, "raw_response", "status")
-    if small is not None:
-        given = F.broadcast(given.join(F.broadcast(first.select(*key)), key))
-    in_order = Window.orderBy(*order_by)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = (
-        first.join(given, key, "left")
-        .withColumn("position", F.row_number().over(in_order))
-        .withColumn("_failed", F.max((F.coalesce("status", F.lit("ok")) == "quota").cast("int")).over(so_far))
-    )
-    return asked.filter(F.col("_failed") == 0).select(*key, "position", "raw_response")
-
-
-def _join_usable(df: DataFrame, usable: DataFrame, key: list[str], budget: int) -> DataFrame:
-    # The budget bounds the answer side.
-    return df.join(F.broadcast(usable) if budget <= BROADCAST_ROWS else usable, key, "left")
+    return given.join(first.select(*key), key, "left_semi")
 
 
 def extract_with_answers(
@@ -122,25 +110,26 @@ def extract_with_answers(
     lexicon: Iterable[str] = FOOD_LEXICON,
     markers: Iterable[str] = ENUMERATION_MARKERS,
     generic: Iterable[str] = GENERIC_TERMS,
-    budget: int = EXTRACTION_BUDGET,
+    budget: int | None = None,
 ) -> DataFrame:
     """Adds `food_entities` and `food_entities_str`; a `food_entities` column already there is used.
 
-    Rows whose rule-based list says little take their answer's list in as well, within the budget.
+    Rows whose rule-based list says little take their answer's list in as well.
     """
     kept = [c for c in df.columns if c != "food_entities"]
     ruled = df
     if "food_entities" not in df.columns:
         ruled = df.withColumn("food_entities", extract_terms(text, lexicon, markers))
     if answers is not None:
-        # Read twice from here on, and dear to compute.
-        ruled = materialize(ruled, "extracted")
-        unresolved = ruled.filter(is_low_information("food_entities", generic))
-        usable = usable_answers(unresolved, answers, key, order_by, budget)
+        little = is_low_information("food_entities", generic)
+        if budget is not None:
+            ruled = materialize(ruled, "extracted")  # read twice from here on, and dear to compute
+        usable = usable_answers(answers, key, ruled.filter(little), order_by, budget)
         extra = parse_food_list(F.coalesce("raw_response", F.lit("")))
+        taken = F.when(little & F.col("raw_response").isNotNull(), sorted_distinct(F.array_union("food_entities", extra)))
         ruled = (
-            _join_usable(ruled, usable, key, budget)
-            .withColumn("food_entities", sorted_distinct(F.array_union("food_entities", extra)))
+            ruled.join(usable, key, "left")
+            .withColumn("food_entities", F.coalesce(taken, F.col("food_entities")))
             .select(*kept, "food_entities")
         )
     return ruled.withColumn("food_entities_str", join_terms("food_entities"))
@@ -153,18 +142,18 @@ def label_with_answers(
     order_by: list[str],
     answers: DataFrame | None = None,
     patterns=SEVERITY_PATTERNS,
-    budget: int = LABELLING_BUDGET,
+    budget: int | None = None,
     label: str = "severity",
 ) -> DataFrame:
-    """Adds the severity: the rule's label, else the answer within the budget, else info.
+    """Adds the severity: the rule's label, else the answer's, else info.
 
     A `rule_label` column that is already there is used.
     """
     ruled = df if "rule_label" in df.columns else df.withColumn("rule_label", classify_severity(text, patterns))
     answer = F.lit(None).cast("string")
     if answers is not None:
-        usable = usable_answers(ruled.filter(as_column("rule_label") == "unknown"), answers, key, order_by, budget)
-        ruled = _join_usable(ruled, usable, key, budget)
-        answer = F.when(F.col("position").isNotNull(), label_from_answer("raw_response"))
+        usable = usable_answers(answers, key, ruled.filter(as_column("rule_label") == "unknown"), order_by, budget)
+        ruled = ruled.join(usable, key, "left")
+        answer = F.when(F.col("raw_response").isNotNull(), label_from_answer("raw_response"))
     kept = [c for c in df.columns if c != "rule_label"]
     return ruled.withColumn(label, final_label("rule_label", answer)).select(*kept, "rule_label", label)

@@ -17,9 +17,11 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from dietlens.functions.vectors import similarity_from_distance
 from dietlens.operators.keys import check_ids
-from dietlens.session import BROADCAST_BYTES, small_or_none
+from dietlens.session import BROADCAST_BYTES, materialize, new_path, small_or_none
 
 BLOCK_ROWS = 8192
+# Scan tasks per core: each returns k rows for every broadcast query.
+SCANS_PER_CORE = 4
 _PLACES = 12
 _TIE = 10.0 ** -_PLACES
 _CELLS = 1 << 22  # similarities held at once
@@ -141,7 +143,9 @@ def _broadcast_top(queries: pa.Table, corpus: DataFrame, k: int, out: StructType
                 [pa.array(query_ids[qrow], query_type), pa.array(ids, row_type), pa.array(dist)], names=names
             )
 
-    return corpus.mapInArrow(scan, out)
+    # Each task returns k rows a query: few large tasks, without a shuffle, whatever the corpus is split into.
+    tasks = SCANS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.coalesce(tasks).mapInArrow(scan, out)
 
 
 def _streamed_top(queries: DataFrame, corpus: pa.Table, k: int, out: StructType) -> DataFrame:
@@ -168,37 +172,30 @@ def _streamed_top(queries: DataFrame, corpus: pa.Table, k: int, out: StructType)
     return queries.mapInArrow(scan, ranked)
 
 
-def _blocked_top(
-    queries: DataFrame, corpus: DataFrame, n_queries: int, n_rows: int, k: int, block_rows: int, out: StructType
-) -> DataFrame:
-    """Meet every block of queries with every block of the corpus, one pair of blocks per group.
-
-    Blocks are hashed from the unique ids, so they are even however the data is skewed, and a group
-    never holds much more than two blocks.
-    """
-    q_blocks = max(1, -(-n_queries // block_rows))
-    c_blocks = max(1, -(-n_rows // block_rows))
-    names = out.names
-    query_type, row_type = (to_arrow_type(out[n].dataType) for n in names[:2])
-
-    def block(column: str, count: int):
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(count)).cast("int")
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+def _ranked(found: DataFrame, query_id: str, row_id: str, k: int) -> DataFrame:
+    order = Window.partitionBy(query_id).orderBy("distance", row_id)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    left = queries.withColumn("_qb", block(names[0], q_blocks)).withColumn("_cb", every(c_blocks))
-    right = corpus.withColumn("_cb", block(names[1], c_blocks)).withColumn("_qb", every(q_blocks))
 
-    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or c.num_rows == 0:
-            columns = [pa.array([], query_type), pa.array([], row_type), pa.array([], pa.float64())]
-            return pa.Table.from_arrays(columns, names=names)
-        qrow, ids, dist = _block_top(_unit_rows(q.column(1)), _ids(c.column(0)), _unit_rows(c.column(1)), k)
-        columns = [pa.array(_ids(q.column(0))[qrow], query_type), pa.array(ids, row_type), pa.array(dist)]
-        return pa.Table.from_arrays(columns, names=names)
+def _blocked_top(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int, block_rows: int, out: StructType) -> DataFrame:
+    """Block after block of queries is broadcast, and each streams the corpus past it, which is never shuffled.
 
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(meet, out)
+    Blocks are hashed from the unique ids, so they are even however the data is skewed. Each block's result is written, so that a
+    lost executor or a later block never repeats an earlier one.
+    """
+    spark, (query_id, row_id) = queries.sparkSession, out.names[:2]
+    path = new_path(spark, "query-blocks")
+    n_blocks = max(1, -(-n_queries // block_rows))
+    block = F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_blocks)).cast("int")
+    queries.withColumn("_block", block).write.partitionBy("_block").parquet(path)
+    stored = spark.read.schema(queries.schema.add("_block", IntegerType())).parquet(path)
+    found = None
+    for number in range(n_blocks):
+        head = stored.filter(F.col("_block") == number).drop("_block").toArrow()
+        if head.num_rows:
+            best = materialize(_ranked(_broadcast_top(head, corpus, k, out), query_id, row_id, k), "block")
+            found = best if found is None else found.unionByName(best)
+    return found
 
 
 def nearest(
@@ -216,14 +213,15 @@ def nearest(
 
     Exact brute force; fewer than k rows come back if the corpus is smaller. Both ids must be unique
     and sortable. Whichever side is within `broadcast_bytes` is broadcast, the queries if both are, and
-    the other side is not shuffled; if neither is, they are met block by block.
+    the other side is not shuffled; if neither is, the queries go in blocks of at most `block_rows`.
+    No vector is shuffled in any case.
     """
     queries = queries.select(F.col(query_id), F.col(query_vector).cast("array<float>").alias("_q"))
     corpus = corpus.select(F.col(row_id), F.col(row_vector).cast("array<float>").alias("_c"))
     out = _id_fields(queries, corpus, query_id, row_id)
 
-    sample = queries.select(F.size("_q").alias("n")).first()
-    most = max(1, broadcast_bytes // (8 * max(1, sample.n if sample else 1)))
+    width = queries.agg(F.max(F.size("_q"))).first()[0] or 1  # null vectors count as -1
+    most = max(1, broadcast_bytes // (8 * max(1, width)))
     similarity = similarity_from_distance("distance").alias("similarity")
     columns = [query_id, "rank", row_id, "distance", similarity]
     head = queries.limit(most + 1).toArrow()
@@ -235,20 +233,22 @@ def nearest(
         rows = corpus.limit(most + 1).toArrow()
         if 0 < rows.num_rows <= most:
             return _streamed_top(queries, rows, k, out).select(*columns)
-        best = _blocked_top(queries, corpus, queries.count(), corpus.count(), k, block_rows, out)
-    order = Window.partitionBy(query_id).orderBy("distance", row_id)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*columns)
+        size = max(1, min(block_rows, BROADCAST_BYTES // (16 * max(1, width))))  # hashed blocks vary a little
+        return _blocked_top(queries, corpus, queries.count(), k, size, out).select(*columns)
+    return _ranked(best, query_id, row_id, k).select(*columns)
 
 
 def attach_rows(neighbors: DataFrame, rows: DataFrame, row_id: str = "row_id", hot: int = 100_000) -> DataFrame:
     """The corpus columns of every neighbour. `neighbors` is read more than once: pass a written table.
 
-    A row may be the neighbour of very many queries, as when they are copies. Rows met more than
-    `hot` times are joined in several parts; all others as they are.
+    A row may be the neighbour of very many queries, as when they are copies. Rows met more than `hot` times, and by more
+    than a thousandth of all, are joined in several parts; by arithmetic there are at most a thousand of them.
     """
-    met = neighbors.groupBy(row_id).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot)
-    parts = small_or_none(met.select(row_id, F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
-    if parts is None or parts.isEmpty():
+    total = neighbors.count()
+    limit = max(hot, total // 1000)
+    met = neighbors.groupBy(row_id).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    parts = small_or_none(met.select(row_id, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    if parts.isEmpty():
         return neighbors.join(rows, row_id)
     left = neighbors.join(F.broadcast(parts), row_id, "left").withColumn(
         "_part", F.coalesce(F.pmod(F.xxhash64(*neighbors.columns), F.col("_parts")).cast("int"), F.lit(0))

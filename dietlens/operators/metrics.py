@@ -17,8 +17,16 @@ def confusion(predictions: DataFrame, by: list[str] = (), actual: str = "actual"
     ).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
-    """One row per actual label, one column per predicted label, 0 where no pair occurs."""
+def confusion_matrix(counts: DataFrame, labels: list | None = None) -> DataFrame:
+    """One row per actual label, one column per predicted label, 0 where no pair occurs.
+
+    Without `labels` the columns are the predicted labels that occur. A predicted label outside of them is an error.
+    """
+    if labels is not None:
+        known = F.col("predicted").isin(list(labels))
+        other = counts.filter(~F.coalesce(known, F.lit(False))).select("predicted").first()
+        if other is not None:
+            raise ValueError(f"predicted label {other.predicted!r} is not among the labels")
     wide = counts.groupBy("actual").pivot("predicted", labels).agg(F.sum("n"))
     return wide.na.fill(0).orderBy("actual")
 

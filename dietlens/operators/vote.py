@@ -53,11 +53,14 @@ def severity_info(
     high: float = HIGH_CONFIDENCE,
     medium: float = MEDIUM_CONFIDENCE,
 ) -> DataFrame:
-    """(query, severity_info): the neighbours' vote and the classifier's prediction in one struct."""
+    """(query, severity_info): the neighbours' vote and the classifier's prediction in one struct.
+
+    A query without neighbours keeps its prediction; its final severity is null and its confidence low.
+    """
     both = (
-        votes.join(predictions.select(query_id, "classifier_pred", "classifier_probs"), query_id)
+        predictions.select(query_id, "classifier_pred", "classifier_probs").join(votes, query_id, "left")
         .withColumn("agreement", F.col("neighbor_pred") == F.col("classifier_pred"))
-        .withColumn("final_severity", combine_labels("neighbor_pred", "classifier_pred", order))
+        .withColumn("final_severity", F.when(F.col("neighbor_pred").isNotNull(), combine_labels("neighbor_pred", "classifier_pred", order)))
         .withColumn("confidence_level", confidence_level("agreement", "neighbor_confidence", high, medium))
     )
     info = F.struct(

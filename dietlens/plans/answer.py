@@ -66,7 +66,7 @@ def resolve_foods(
     typed one if it reaches the threshold. Each distinct typed food is looked up once.
     """
     typed = queries.filter(is_not_blank("food")).select("food").distinct()
-    encoded = encoder(typed.withColumn("_food_text", strip("food")), "_food_text", "embedding")
+    encoded = materialize(encoder(typed.withColumn("_food_text", strip("food")), "_food_text", "embedding"), "typed-foods")
     found = materialize(nearest(encoded, foods, 1, query_id="food", row_id="food_name"), "foods")
     best = found.select("food", "food_name", (F.lit(1.0) - F.col("distance")).alias("_similarity"))
     joined = lookup_join(queries, best, "food", [query_id])
@@ -94,12 +94,20 @@ def retrieve(encoded: DataFrame, corpus: Corpus, k: int = K_NEIGHBORS) -> DataFr
     return attach_rows(materialize(nearest(encoded, corpus.vectors, k), "nearest"), corpus.rows)
 
 
+def _with_lists(queries: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """Adds `neighbors`; a query that met none keeps an empty list."""
+    lists = neighbor_lists(neighbors)
+    none = F.array().cast(lists.schema["neighbors"].dataType)
+    return queries.join(lists, "query_id", "left").withColumn("neighbors", F.coalesce("neighbors", none))
+
+
 def zero_shot_severity(queries: DataFrame, corpus: Corpus, k: int = K_NEIGHBORS) -> DataFrame:
     """(query_id, query_text, neighbor_pred, neighbor_confidence, neighbor_distribution, neighbors)."""
     encoded = encode_queries(queries, corpus.encoder)
     neighbors = materialize(retrieve(encoded, corpus, k), "neighbors")
     votes = neighbor_vote(neighbors)
-    return encoded.select("query_id", "query_text").join(votes, "query_id").join(neighbor_lists(neighbors), "query_id")
+    asked = encoded.select("query_id", "query_text").join(votes, "query_id", "left")
+    return _with_lists(asked, neighbors)
 
 
 def classifier_severity(queries: DataFrame, corpus: Corpus) -> DataFrame:
@@ -111,7 +119,7 @@ def compare_predictions(queries: DataFrame, corpus: Corpus, k: int = K_NEIGHBORS
     """The neighbours' answer beside the classifier's."""
     encoded = encode_queries(queries, corpus.encoder)
     votes = neighbor_vote(retrieve(encoded, corpus, k))
-    return votes.join(classify(corpus.classifier, encoded), "query_id")
+    return encoded.select("query_id").join(votes, "query_id", "left").join(classify(corpus.classifier, encoded), "query_id", "left")
 
 
 def explain(
@@ -125,7 +133,7 @@ def explain(
     """One result per query (query_id, drug_name, food, interaction_text).
 
     Rejected queries stop after the relevance check: their nested parts are null and their neighbour
-    list is empty. Accepted ones have the reason `ok`. `generated` optionally holds texts made
+    list is empty. Accepted ones have the reason `ok`; one that meets no corpus row has an empty list and no final severity. `generated` optionally holds texts made
     offline from `explanation_prompt`, as (query_id, first_text, second_text).
     """
     checked = materialize(check_relevance(queries, corpus.drugs, irrelevant_words=irrelevant_words), "checked")
@@ -141,7 +149,7 @@ def explain(
     encoded = encode_queries(resolved, corpus.encoder, "resolved_food")
     neighbors = materialize(retrieve(encoded, corpus, k), "neighbors")
     severity = severity_info(neighbor_vote(neighbors), classify(corpus.classifier, encoded))
-    answered = resolved.join(neighbor_lists(neighbors), "query_id").join(severity, "query_id")
+    answered = _with_lists(resolved, neighbors).join(severity, "query_id", "left")
     reasoned = add_reasoning(answered, corpus.injectables)
     texts = []
     if generated is not None:

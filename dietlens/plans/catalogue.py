@@ -31,7 +31,6 @@ PATTERNS = {
     "minor": ["that", "this"],
     "info": ["the", "les"],
 }
-BUDGET = 300
 IV_WORDS = ["license", "zz", "th the"]
 ORAL_WORDS = ["worth", "hshs", "oil the", "quee"]
 OFF_TOPIC = ["zz", "server", "shhe"]
@@ -91,9 +90,7 @@ def lexicon_match_join(spark, sf_dir):
     word = F.explode(F.regexp_extract_all(T.normalize_text("text"), F.lit(f"({T.WORD}+)"), F.lit(1)))
     lexicon = table(spark, sf_dir, "benchmark").select(word.alias("term")).distinct()
     found = extract.match_terms_by_join(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon)
-    return found.groupBy("doc_id").agg(
-        F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term")
-    )
+    return found.select("doc_id", "term")
 
 
 def lexicon_file(spark, sf_dir):
@@ -118,7 +115,7 @@ def enumeration_extract(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir, answers=None):
-    return prepare.extracted_rows(lines(spark, sf_dir), _KEY, answers, LEXICON, MARKERS, GENERIC, BUDGET)
+    return prepare.extracted_rows(lines(spark, sf_dir), _KEY, answers, LEXICON, MARKERS, GENERIC)
 
 
 def extract_terms(spark, sf_dir):
@@ -148,7 +145,7 @@ def severity_label(spark, sf_dir):
 
 
 def _answers(spark, sf_dir, raw_response):
-    """Answers for every line of the labelled documents; the quota ends where quality 0 meets toxic 1."""
+    """Answers for every line of the labelled documents; those for quality 0 with toxic 1 have failed."""
     status = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "quota").otherwise("ok")
     return lines(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(
         *_KEY, raw_response.alias("raw_response"), status.alias("status")
@@ -158,7 +155,7 @@ def _answers(spark, sf_dir, raw_response):
 def final_label(spark, sf_dir):
     response = F.when(F.col("toxic") == 1, " SEVERE, certainly").when(F.col("quality") == 1, "Moderate.").otherwise("minor")
     labelled = extract.label_with_answers(
-        lines(spark, sf_dir), "interaction_text", _KEY, _KEY, _answers(spark, sf_dir, response), PATTERNS, BUDGET
+        lines(spark, sf_dir), "interaction_text", _KEY, _KEY, _answers(spark, sf_dir, response), PATTERNS
     )
     return labelled.select("doc_id", F.col("text_pos").cast("long").alias("text_pos"), "rule_label", "severity")
 
@@ -422,7 +419,9 @@ def _first_word(text):
 
 
 def _word_vocabulary(spark, sf_dir):
-    return relevance.drug_vocabulary(table(spark, sf_dir, "documents").select(_first_word("text").alias("drug_name")))
+    """Every word of the documents."""
+    words = F.explode(F.regexp_extract_all(T.normalize_text("text"), F.lit(f"({T.WORD}+)"), F.lit(1)))
+    return relevance.drug_vocabulary(table(spark, sf_dir, "documents").select(words.alias("drug_name")))
 
 
 def _questions(spark, sf_dir):
@@ -594,22 +593,23 @@ def model_logreg(spark, sf_dir):
 
 
 def model_forest(spark, sf_dir):
-    return _scores(spark, sf_dir, {"random_forest": models.forest(50)})
+    return _scores(spark, sf_dir, {"random_forest": models.forest()})
 
 
 def model_mlp(spark, sf_dir):
     classes = table(spark, sf_dir, "embeddings").agg(F.countDistinct("label")).first()[0]
-    return _scores(spark, sf_dir, {"mlp": models.network(64, classes, max_iter=30)})
+    return _scores(spark, sf_dir, {"mlp": models.network(64, classes)})
 
 
 def model_boosted(spark, sf_dir):
-    return _scores(spark, sf_dir, {"boosted": models.boosted(2)})
+    return _scores(spark, sf_dir, {"boosted": models.boosted()})
 
 
 def model_selection(spark, sf_dir):
     """Compare, select, save, load, and write the reports; the reports are read back."""
     prepared = _training(spark, sf_dir)
-    fitted, counts, scores = models.train_and_compare(prepared, {"logreg": models.logistic(100), "random_forest": models.forest(20)})
+    classes = table(spark, sf_dir, "embeddings").agg(F.countDistinct("label")).first()[0]
+    fitted, counts, scores = models.train_and_compare(prepared, models.default_estimators(64, classes))
     name, best = models.select_best(fitted, scores)
     path = new_path(spark, "model")
     models.save_model(best, path)
@@ -647,7 +647,7 @@ def raw_records(spark, sf_dir):
     nested = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("  "), F.col("source")).alias("name"),
         F.concat(F.col("doc_id").cast("string"), F.lit(" ")).alias("reference"),
-        F.when(F.col("lang") != "es", F.split("text", "\n")).alias("food_interactions"),
+        F.when(F.length("text") % 7 != 0, F.split("text", "\n")).alias("food_interactions"),
     )
     path = new_path(spark, "raw")
     records.write_json_records(nested, path)
@@ -687,7 +687,7 @@ def corpus(spark, sf_dir) -> answer.Corpus:
         joined = materialize(rows.select("row_id", "severity").join(vectors, "row_id"), "training")
         clustered = cluster.add_kmeans(joined, cluster.fit_kmeans(joined)).select("row_id", "cluster_kmeans")
         weighted = split.add_class_weight(joined, "severity", ["row_id"]).withColumn("features", encode.features())
-        classifier = models.fit(weighted, models.logistic(50))
+        classifier = models.fit(weighted, models.logistic())
         _CORPORA[name] = answer.build_corpus(
             materialize(rows.join(clustered, "row_id"), "rows"), vectors, encoder, classifier,
             curated=CURATED, iv_tokens=IV_WORDS, oral_tokens=ORAL_WORDS,

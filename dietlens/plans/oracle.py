@@ -121,7 +121,7 @@ SEVERITY = "['info', 'minor', 'moderate', 'severe']"
 QUESTIONS = f"""questions AS (
   SELECT conv_id * 1000 + turn AS query_id, nullif(regexp_extract({norm('text')}, '{WORD}+'), 'the') AS drug_name,
          nullif(role, 'system') AS food, text AS interaction_text FROM conversations),
-vocabulary AS (SELECT DISTINCT lower(regexp_extract({norm('text')}, '{WORD}+')) AS drug_key FROM documents)"""
+vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '{WORD}+')) AS drug_key FROM documents)"""
 
 INJECTABLES = f"""{LINES}, joined AS (
   SELECT drug_name || '-' || lang AS drug, lower(string_agg(interaction_text, ' ' ORDER BY doc_id, text_pos)) AS txt
@@ -135,8 +135,7 @@ REASONED = f"""{PAIRS}, near AS (
 {voted('near')},
 contexts AS (
   SELECT n.query_id, string_agg(coalesce(d.text, ''), ' ' ORDER BY n.rank) AS others,
-         list('- Drug: ' || d.source || '-' || d.lang || ', Food: ' || d.lang || ', Severity: ' || n.label
-              || '. Interaction: ' || d.text ORDER BY n.rank) AS examples
+         list('* [' || n.label || '] ' || d.source || '-' || d.lang || ' with ' || d.lang || ' - ' || d.text ORDER BY n.rank) AS examples
   FROM near n JOIN documents d ON d.doc_id = n.row_id GROUP BY n.query_id),
 reasoned AS (
   SELECT d.doc_id AS query_id, d.source || '-' || d.lang AS drug_name, d.lang AS food,
@@ -213,7 +212,7 @@ ORACLE = {
 SELECT doc_id, array_to_string(list_sort({hits('n')}), '; ') AS terms FROM n""",
     "lexicon_match_join": f"""WITH lexicon AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '{WORD}+')) AS term FROM benchmark),
 words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({norm('text')}, '{WORD}+')) AS term FROM documents)
-SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM words JOIN lexicon USING (term) GROUP BY doc_id""",
+SELECT doc_id, term FROM words JOIN lexicon USING (term)""",
     "lexicon_file": f"""WITH words AS (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark),
 parts AS (SELECT lower({strip('unnest(string_split(w, chr(10)))')}) AS term FROM words)
 SELECT term FROM parts WHERE term <> '' UNION SELECT unnest([{', '.join(q(t) for t in C.LEXICON)}])""",
@@ -230,28 +229,18 @@ SELECT doc_id, array_to_string({items('n')}, '|') AS items FROM n""",
 SELECT doc_id, {low(terms('n'))} AS low_all, {low(hits('n'))} AS low_lexicon FROM n""",
     "flatten_terms": f"WITH {FLAT} SELECT doc_id, text_pos, drug_name, food FROM flat",
     "severity_label": f"WITH {LINES} SELECT doc_id, text_pos, {rule('lower(interaction_text)')} AS rule_label FROM lines",
-    "final_label": f"""WITH {LINES}, ruled AS (SELECT *, {rule('lower(interaction_text)')} AS rule_label FROM lines),
-asked AS (
-  SELECT r.doc_id, r.text_pos, l.quality, l.toxic,
-         row_number() OVER (ORDER BY r.doc_id, r.text_pos) AS place
-  FROM ruled r LEFT JOIN labels l ON l.doc_id = r.doc_id WHERE rule_label = 'unknown'),
-stop AS (SELECT coalesce(min(place), 1000000000) AS place FROM asked WHERE quality = 0 AND toxic = 1)
+    "final_label": f"""WITH {LINES}, ruled AS (SELECT *, {rule('lower(interaction_text)')} AS rule_label FROM lines)
 SELECT r.doc_id, r.text_pos, r.rule_label,
   CASE WHEN r.rule_label <> 'unknown' THEN r.rule_label
-       WHEN a.place <= {C.BUDGET} AND a.place < (SELECT place FROM stop) THEN
-         CASE WHEN a.toxic = 1 THEN 'severe' WHEN a.quality = 1 THEN 'moderate' WHEN a.quality = 0 THEN 'minor' ELSE 'info' END
-       ELSE 'info' END AS severity
-FROM ruled r LEFT JOIN asked a USING (doc_id, text_pos)""",
-    "extract_with_answers": f"""WITH {TERMS},
-asked AS (
-  SELECT f.doc_id, f.text_pos, l.quality, l.toxic, row_number() OVER (ORDER BY f.doc_id, f.text_pos) AS place
-  FROM found f LEFT JOIN labels l ON l.doc_id = f.doc_id WHERE {low('foods')}),
-stop AS (SELECT coalesce(min(place), 1000000000) AS place FROM asked WHERE quality = 0 AND toxic = 1)
+       WHEN l.doc_id IS NULL OR (l.quality = 0 AND l.toxic = 1) THEN 'info'
+       WHEN l.toxic = 1 THEN 'severe' WHEN l.quality = 1 THEN 'moderate' ELSE 'minor' END AS severity
+FROM ruled r LEFT JOIN labels l ON l.doc_id = r.doc_id""",
+    "extract_with_answers": f"""WITH {TERMS}
 SELECT f.doc_id, f.text_pos, array_to_string(CASE
-    WHEN a.place <= {C.BUDGET} AND a.place < (SELECT place FROM stop) AND a.quality IS NOT NULL
-    THEN list_sort(list_distinct(list_concat(foods, ['zucchini', f.doc_id::VARCHAR, a.quality::VARCHAR])))
+    WHEN {low('foods')} AND l.doc_id IS NOT NULL AND NOT (l.quality = 0 AND l.toxic = 1)
+    THEN list_sort(list_distinct(list_concat(foods, ['zucchini', f.doc_id::VARCHAR, l.quality::VARCHAR])))
     ELSE foods END, '; ') AS food_entities_str
-FROM found f LEFT JOIN asked a USING (doc_id, text_pos)""",
+FROM found f LEFT JOIN labels l ON l.doc_id = f.doc_id""",
     "unresolved_prompts": f"""WITH {LINES}
 SELECT doc_id, text_pos, md5({q(LABELLING_PROMPT)} || interaction_text) AS label_prompt,
        md5({q(EXTRACTION_PROMPT)} || interaction_text) AS extract_prompt
@@ -382,7 +371,7 @@ SELECT (SELECT string_agg(pair, '|' ORDER BY pair) FROM label_pairs) AS label_si
     "density_off": "SELECT vec_id AS row_id, (-1)::BIGINT AS cluster FROM embeddings",
     "json_round_trip": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, interaction_text FROM lines",
     "csv_round_trip": "SELECT doc_id, source, nullif(lang, 'en') AS food, md5(text) AS text FROM documents",
-    "raw_records": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, md5(interaction_text) AS interaction_text FROM lines WHERE lang <> 'es'",
+    "raw_records": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, md5(interaction_text) AS interaction_text FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) % 7 <> 0)",
     "vector_store_round_trip": """SELECT count(*) AS num_rows, max(len(embedding))::BIGINT AS embedding_dim, 'cosine' AS metric,
   round(sum(list_sum(embedding::DOUBLE[])), 4) AS total FROM embeddings""",
     "explanations_csv": f"""WITH asked AS (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dietlens.constants import (
-    ENUMERATION_MARKERS, EXTRACTION_BUDGET, FOOD_LEXICON, GENERIC_TERMS, LABELLING_BUDGET, SEVERITY_PATTERNS,
+    ENUMERATION_MARKERS, FOOD_LEXICON, GENERIC_TERMS, SEVERITY_PATTERNS,
 )
 from dietlens.functions.severity import classify_severity
 from dietlens.functions.text import embedding_text
@@ -24,7 +24,7 @@ def extracted_rows(
     lexicon: Iterable[str] = FOOD_LEXICON,
     markers: Iterable[str] = ENUMERATION_MARKERS,
     generic: Iterable[str] = GENERIC_TERMS,
-    budget: int = EXTRACTION_BUDGET,
+    budget: int | None = None,
 ) -> DataFrame:
     """Interaction rows with `food_entities` and `food_entities_str`."""
     key = list(key)
@@ -38,7 +38,7 @@ def labelled_triples(
     key: Sequence[str],
     answers: DataFrame | None = None,
     patterns: Mapping[str, Sequence[str]] = SEVERITY_PATTERNS,
-    budget: int = LABELLING_BUDGET,
+    budget: int | None = None,
 ) -> DataFrame:
     """(row_id, drug_name, food, interaction_text, severity): one row per term, keyed in source order.
 

@@ -82,8 +82,8 @@ def test_examples_take_the_first_three(spark):
     rows = [(0, [(i, f"d{i}", None if i == 1 else "f", "minor", "t") for i in range(1, 6)])]
     df = spark.createDataFrame(rows, f"i INT, neighbors {NEIGHBOR}")
     [got] = df.select(R.neighbor_examples().alias("v")).collect()
-    assert got.v[0] == "- Drug: d1, Food: , Severity: minor. Interaction: t"
-    assert len(got.v) == 3 and got.v[2].startswith("- Drug: d3, Food: f")
+    assert got.v[0] == "* [minor] d1 with  - t"
+    assert len(got.v) == 3 and got.v[2].startswith("* [minor] d3 with f")
 
 
 def test_safety_notes(spark):

@@ -1,5 +1,6 @@
 """The whole job on a small corpus: prepare, encode, train, answer."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -96,11 +97,11 @@ def test_resolve_foods(spark, corpus):
 
 
 DEMO = [
-    (0, "Atorvastatin", "grapefruit juice", "I am taking atorvastatin. Is it safe to drink grapefruit juice?"),
-    (1, "Fluoxetine", "aged cheese", "I'm taking Fluoxetine with aged cheese, is that ok?"),
-    (2, "Warfarin", "leafy green vegetables", "I am on warfarin and I eat a lot of leafy green vegetables."),
-    (3, "Metformin", "food", "My doctor told me to take metformin with food. Why is that?"),
-    (4, "Windows 10", "banana", "Is Windows 10 compatible with banana?"),
+    (0, "Atorvastatin", "grapefruit juice", "My pills are atorvastatin, may grapefruit juice go with them?"),
+    (1, "Fluoxetine", "aged cheese", "Does fluoxetine go well with an old cheddar?"),
+    (2, "Warfarin", "leafy green vegetables", "Warfarin user here, salad and spinach nearly every day."),
+    (3, "Metformin", "food", "Why does the label say metformin belongs to a meal?"),
+    (4, "Windows 10", "banana", "Will a banana run on Windows 10?"),
     (5, "Nosuchdrug", "banana", "Is it safe to eat?"),
     (6, "Heparin", "rice", "ok?"),
 ]
@@ -147,9 +148,19 @@ def test_explain(results):
     assert got[0].neighbors[0].drug_name == "Atorvastatin"
 
 
+def test_an_empty_index_answers_every_query(spark, corpus):
+    queries = spark.createDataFrame(DEMO, "query_id LONG, drug_name STRING, food STRING, interaction_text STRING")
+    empty = dataclasses.replace(corpus, vectors=corpus.vectors.filter("false"))
+    got = {r.query_id: r for r in A.explain(queries, empty).collect()}
+    assert len(got) == len(DEMO) and all(r.neighbors == [] and r.explanation for r in got.values())
+    assert got[0].severity_info.final_severity is None and got[0].severity_info.classifier_pred and got[0].severity_info.confidence_level == "low"
+    assert A.zero_shot_severity(queries, empty).filter("neighbor_pred IS NULL AND size(neighbors) = 0").count() == len(DEMO)
+    assert A.compare_predictions(queries, empty).filter("neighbor_pred IS NULL AND classifier_pred IS NOT NULL").count() == len(DEMO)
+
+
 def test_generated_texts_come_first(spark, corpus):
     queries = spark.createDataFrame(DEMO[:3], "query_id LONG, drug_name STRING, food STRING, interaction_text STRING")
-    generated = spark.createDataFrame([(0, " one ", "two"), (1, None, "second")], "query_id LONG, first_text STRING, second_text STRING")
+    generated = spark.createDataFrame([(0, " one ", "two"), (1, "  ", "second")], "query_id LONG, first_text STRING, second_text STRING")
     got = {r.query_id: r.explanation for r in A.explain(queries, corpus, 4, generated=generated).collect()}
     assert got[0].startswith(f"one\n\n{R.WARNING}") and got[1].startswith(f"second\n\n{R.WARNING}")
     assert got[2].startswith("الدواء: Warfarin")

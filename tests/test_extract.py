@@ -62,7 +62,7 @@ def test_flatten(spark):
     assert got == [(0, "a"), (0, "a"), (0, "b"), (1, ""), (2, "")]
 
 
-def _labels(spark, answers, budget):
+def _labels(spark, answers, budget=None):
     texts = ["fatal", "x0", "x1", "monitor", "x2", "x3", "x4"]
     df = spark.createDataFrame(list(enumerate(texts)), "k LONG, t STRING").repartition(3)
     table = spark.createDataFrame(answers, "k LONG, raw_response STRING, status STRING")
@@ -76,14 +76,22 @@ def test_labels_use_answers_within_the_budget(spark):
     assert _labels(spark, answers, 0) == ["severe", "info", "info", "moderate", "info", "info", "info"]
 
 
-def test_a_failed_answer_stops_all_later_ones(spark):
-    answers = [(1, "minor", "ok"), (2, None, "quota"), (4, "severe", "ok"), (5, "severe", "ok")]
-    assert _labels(spark, answers, 40) == ["severe", "minor", "info", "moderate", "info", "info", "info"]
+def test_a_failed_answer_does_not_stop_the_others(spark):
+    answers = [(1, "minor", "ok"), (2, None, "quota"), (4, "severe", "ok"), (5, "severe", "ok"), (6, "severe", "error")]
+    assert _labels(spark, answers) == ["severe", "minor", "info", "moderate", "severe", "severe", "info"]
 
 
-def test_a_missing_answer_is_info_and_uses_the_budget(spark):
+def test_a_missing_answer_is_info(spark):
     answers = [(2, "minor", "ok"), (4, "severe", "ok")]
-    assert _labels(spark, answers, 2) == ["severe", "info", "minor", "moderate", "info", "info", "info"]
+    assert _labels(spark, answers) == ["severe", "info", "minor", "moderate", "severe", "info", "info"]
+
+
+def test_every_answer_is_used_once(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), F.lit("nothing known").alias("t"))
+    answers = df.select("k", F.lit("severe").alias("raw_response"), F.lit("ok").alias("status"))
+    twice = answers.unionByName(answers.withColumn("raw_response", F.lit("the same, severe")))
+    got = X.label_with_answers(df, "t", ["k"], ["k"], twice)
+    assert got.count() == 100 and got.filter("severity = 'severe'").count() == 100
 
 
 def test_labels_without_answers(spark):
@@ -103,7 +111,7 @@ def test_extraction_with_answers(spark):
         "k LONG, raw_response STRING, status STRING",
     )
     got = X.extract_with_answers(df, "t", ["k"], ["k"], answers).orderBy("k").collect()
-    assert [r.food_entities for r in got] == [["grapefruit"], ["Apple", "food", "zinc"], [], [], ["food", "meals"]]
+    assert [r.food_entities for r in got] == [["grapefruit"], ["Apple", "food", "zinc"], [], [], ["food", "late", "meals"]]
     assert got[1].food_entities_str == "Apple; food; zinc"
     capped = X.extract_with_answers(df, "t", ["k"], ["k"], answers, budget=1).orderBy("k").collect()
     assert [r.food_entities for r in capped][:3] == [["grapefruit"], ["Apple", "food", "zinc"], []]

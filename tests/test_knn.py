@@ -132,4 +132,20 @@ def test_plans_have_no_cross_join(spark, sf_dir):
     for options in ({}, {"broadcast_bytes": 8, "block_rows": 100}):
         plan = knn.nearest(queries, emb, 3, **options)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-        assert "WindowGroupLimit" in plan
+        if not options:
+            assert "WindowGroupLimit" in plan
+
+
+def test_partial_rows_do_not_grow_with_the_corpus_partitions(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SCANS_PER_CORE", 1)
+    corpus = spark.range(4000, numPartitions=400).select(F.col("id").alias("row_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    queries = corpus.filter("row_id < 3").withColumnRenamed("row_id", "query_id")
+    out = knn._broadcast_top(queries.selectExpr("query_id", "cast(embedding as array<float>) e").toArrow(), corpus, 2, knn._id_fields(queries, corpus, "query_id", "row_id"))
+    assert out.count() <= 3 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_null_vector_is_reported(spark):
+    corpus, _ = tables(spark, [(0, [1.0, 0.0])], [(0, [1.0, 0.0])])
+    queries = spark.createDataFrame([(0, None), (1, [1.0, 0.0])], "query_id LONG, embedding ARRAY<FLOAT>").coalesce(1)
+    with pytest.raises(Exception, match="null vector"):
+        knn.nearest(queries, corpus, 1).collect()
