@@ -48,22 +48,12 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def clustering_summary(df: DataFrame, clusters: list[str], **facts) -> DataFrame:
-    """One row: the parameters given and, per cluster column, a map from cluster id to size.
-
-    The maps hold one entry per cluster; for great numbers of clusters use `cluster_sizes`.
-    """
+    """(name, id, size and the facts): one row per cluster of each cluster column, with the parameters given."""
     counts = [
-        df.groupBy(F.col(name).cast("string").alias("id")).agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        df.groupBy(F.col(name).cast("string").alias("id")).agg(F.count("*").alias("size")).select(F.lit(name).alias("name"), "id", "size")
         for name in clusters
     ]
-    pairs = F.struct("id", "n")
-    return reduce(DataFrame.unionByName, counts).agg(
-        *[
-            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name") == name, pairs)))).alias(f"{name}_sizes")
-            for name in clusters
-        ],
-        *[F.lit(value).alias(name) for name, value in facts.items()],
-    )
+    return reduce(DataFrame.unionByName, counts).withColumns({name: F.lit(value) for name, value in facts.items()})
 
 
 def plot_bins(df: DataFrame, x: str, y: str, label: str, width: float, row_key: list[str]) -> DataFrame:

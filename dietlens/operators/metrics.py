@@ -93,6 +93,14 @@ def best_model(metrics: DataFrame) -> DataFrame:
     ).filter(F.col("model").isNotNull())
 
 
+def model_summary(counts: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(model, accuracy, macro_f1, best, actual, predicted, n): scores, confusion counts and the chosen model."""
+    best = best_model(metrics).select(F.col("model").alias("_best"))
+    scores = metrics.select("model", "accuracy", "macro_f1").join(best, F.col("model") == F.col("_best"), "left")
+    scores = scores.select("model", "accuracy", "macro_f1", F.col("_best").isNotNull().alias("best"))
+    return scores.join(counts, "model").select("model", "accuracy", "macro_f1", "best", "actual", "predicted", "n")
+
+
 def report_text(counts: DataFrame, metrics: DataFrame) -> DataFrame:
     """(model, report): the text of one report per model. Its length grows with the classes only."""
     def line(*parts) -> Column:

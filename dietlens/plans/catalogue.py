@@ -389,6 +389,18 @@ def best_model(spark, sf_dir):
     return best.select("model", F.round("macro_f1", 6).alias("macro_f1"), F.round("accuracy", 6).alias("accuracy"))
 
 
+def model_summary(spark, sf_dir):
+    """Scores and confusion counts of all models with the best one marked; written and read back."""
+    counts = metrics.confusion(_predictions(spark, sf_dir), ["model", "ordinal"])
+    summary = metrics.model_summary(counts.drop("ordinal"), metrics.summary_scores(counts, ["model", "ordinal"]))
+    path = new_path(spark, "model-summary")
+    store.write_summary(summary, path)
+    back = store.read_summary(
+        spark, path, "model STRING, accuracy DOUBLE, macro_f1 DOUBLE, best BOOLEAN, actual LONG, predicted LONG, n LONG"
+    )
+    return back.withColumns({c: F.round(c, 6) for c in ("accuracy", "macro_f1")})
+
+
 def class_weights(spark, sf_dir):
     weights = split.class_weights(table(spark, sf_dir, "labels"), "quality")
     return weights.select("quality", "n", F.round("weight", 6).alias("weight"))
@@ -525,6 +537,13 @@ def explanations(spark, sf_dir):
     return bundled.select("query_id", text.alias("explanation"))
 
 
+def explanation_texts(spark, sf_dir):
+    """The explanations written as one text per query, and read back."""
+    path = new_path(spark, "texts")
+    store.write_texts(explanations(spark, sf_dir), path, "query_id", "explanation")
+    return store.read_texts(spark, path).toDF("query_id", "explanation")
+
+
 # Clusters
 
 def cluster_sizes(spark, sf_dir):
@@ -563,18 +582,12 @@ def projection(spark, sf_dir):
 
 
 def clustering_summary(spark, sf_dir):
-    """Sizes of the stored labels as clusters and of the density clusters, with the parameters."""
+    """Sizes of the stored labels as clusters and of the density clusters, with the parameters; written and read back."""
     found = cluster.add_density_clusters(_plane(spark, sf_dir), "x", "y", EPS, MIN_POINTS, MIN_SIZE)
     summary = cluster.clustering_summary(found, ["label", "cluster_hdbscan"], eps=EPS, min_points=MIN_POINTS, metric="euclidean")
-
-    def as_text(sizes):
-        pairs = F.transform(F.map_entries(sizes), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
-        return F.array_join(F.array_sort(pairs), "|")
-
-    return summary.select(
-        as_text("label_sizes").alias("label_sizes"), as_text("cluster_hdbscan_sizes").alias("density_sizes"),
-        "eps", F.col("min_points").cast("long").alias("min_points"), "metric",
-    )
+    path = new_path(spark, "clustering-summary")
+    store.write_summary(summary, path)
+    return store.read_summary(spark, path, "name STRING, id STRING, size LONG, eps DOUBLE, min_points LONG, metric STRING")
 
 
 # Models
@@ -768,10 +781,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         row_key, alignment, id_range_check, category_codes, vocabulary, vocabulary_counts,
         l2_normalize, cosine_pairs, knn_exact, knn_blocked, knn_by_id, neighbor_lists, neighbor_vote,
         vote_distribution, nearest_food, vector_metadata,
-        severity_combine, confusion, confusion_matrix, model_scores, class_report, best_model, class_weights,
+        severity_combine, confusion, confusion_matrix, model_scores, class_report, best_model, model_summary, class_weights,
         stratified_split,
         injectable_set, unknown_drugs, relevance_check, validation, context_text, mechanism, neighbor_examples,
-        prompts, explanations,
+        prompts, explanations, explanation_texts,
         cluster_sizes, plot_bins, density_clusters, density_off, kmeans, projection, clustering_summary,
         model_logreg, model_forest, model_mlp, model_boosted, model_selection,
         json_round_trip, csv_round_trip, raw_records, vector_store_round_trip,

@@ -363,11 +363,10 @@ SELECT floor(x / {C.BIN})::BIGINT AS x_bin, floor(y / {C.BIN})::BIGINT AS y_bin,
 FROM plane JOIN codes USING (label) GROUP BY ALL""",
     "density_clusters": f"{DENSITY} SELECT row_id, cluster FROM found",
     "clustering_summary": f"""{DENSITY},
-label_pairs AS (SELECT label || ':' || count(*) AS pair FROM found GROUP BY label),
-density_pairs AS (SELECT cluster || ':' || count(*) AS pair FROM found GROUP BY cluster)
-SELECT (SELECT string_agg(pair, '|' ORDER BY pair) FROM label_pairs) AS label_sizes,
-       (SELECT string_agg(pair, '|' ORDER BY pair) FROM density_pairs) AS density_sizes,
-       {C.EPS}::DOUBLE AS eps, {C.MIN_POINTS}::BIGINT AS min_points, 'euclidean' AS metric""",
+sizes AS (
+  SELECT 'label' AS name, label::VARCHAR AS id, count(*) AS size FROM found GROUP BY label
+  UNION ALL SELECT 'cluster_hdbscan', cluster::VARCHAR, count(*) FROM found GROUP BY cluster)
+SELECT name, id, size, {C.EPS}::DOUBLE AS eps, {C.MIN_POINTS}::BIGINT AS min_points, 'euclidean' AS metric FROM sizes""",
     "density_off": "SELECT vec_id AS row_id, (-1)::BIGINT AS cluster FROM embeddings",
     "json_round_trip": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, interaction_text FROM lines",
     "csv_round_trip": "SELECT doc_id, source, nullif(lang, 'en') AS food, md5(text) AS text FROM documents",
@@ -385,3 +384,6 @@ SELECT relevance_reason = 'ok' AS relevant, relevance_reason, count(*) AS n FROM
   CASE WHEN len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
   {C.TFIDF_SIZE}::BIGINT AS dim FROM documents""",
 }
+ORACLE["explanation_texts"] = ORACLE["explanations"]
+ORACLE["model_summary"] = f"""SELECT c.model, s.accuracy, s.macro_f1, c.model = b.model AS best, c.actual, c.predicted, c.n
+FROM ({ORACLE['confusion']}) c JOIN ({ORACLE['model_scores']}) s USING (model), ({ORACLE['best_model']}) b"""

@@ -40,6 +40,25 @@ def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame | No
         raise
 
 
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A model or clustering summary as JSON lines."""
+    summary.write.json(path)
+
+
+def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
+    """One text per key as Parquet, for any number of texts."""
+    df.select(F.col(key).alias("key"), F.col(text).alias("text")).write.parquet(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(key, text)"""
+    return spark.read.parquet(path)
+
+
 def write_text_per_name(df: DataFrame, path: str, name: str, text: str) -> None:
     """UTF-8 text files, one folder per `name`.
 

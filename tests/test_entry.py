@@ -9,7 +9,6 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows_of
-from conftest import SF_DIR
 
 ROOT = os.path.dirname(os.path.abspath(entry.__file__))
 
@@ -46,12 +45,12 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert rows_of(got) == rows_of(want)
 
 
-def test_workers_need_no_installed_package(tmp_path):
+def test_workers_need_no_installed_package(tmp_path, sf_dir):
     """From another folder, with nothing on the workers' path."""
     code = (
         f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; "
         "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
-        f"print('rows', e.queries()['knn_exact'](s, {SF_DIR!r}).count())"
+        f"print('rows', e.queries()['knn_exact'](s, {sf_dir!r}).count())"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
