@@ -132,6 +132,10 @@ def holds(rule: Rule, m: Column) -> Column:
     return out
 
 
+def fails_base(m: Column, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
+    return (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+
+
 def judge(
     docs: DataFrame,
     text: str = "text",
@@ -149,14 +153,30 @@ def judge(
     known = sorted({w for group in stop_words.values() for w in group})
     measured = docs.select(*[F.col(c) for c in keep], measures(F.col(text), known).alias("m"))
     m = F.col("m")
-    base = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+    base = fails_base(m, min_words, max_repeat_percent)
     failed = F.filter(F.array(*[F.when(~holds(r, m), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     judged = measured.select(*keep, "m", base.alias("base_failed"), failed.alias("failed"))
     return judged.select(*keep, "m.*", "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
 
 
-def kept_rows(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns; see `judge`."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = judge(docs.select(whole, F.col(text).alias("text")), "text", ["row"], **settings)
-    return judged.filter("kept").select("row.*")
+def kept_rows(
+    docs: DataFrame,
+    text: str = "text",
+    rules: Sequence[Rule] = RULES,
+    stop_words: dict[str, list[str]] = STOP_WORDS,
+    min_words: int = MIN_WORDS,
+    max_repeat_percent: int = MAX_REPEAT_PERCENT,
+) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns.
+
+    The measures are bound inside of the condition: as a column they would be computed anew for each of its parts.
+    """
+    known = sorted({w for group in stop_words.values() for w in group})
+
+    def verdict(m: Column) -> Column:
+        out = ~fails_base(m, min_words, max_repeat_percent)
+        for rule in rules:
+            out = out & holds(rule, m)
+        return out
+
+    return docs.filter(let(measures(F.col(text), known), verdict))
