@@ -151,12 +151,15 @@ def judge(
     a word, has zero measures and fails the base rule. Other columns are not read. An empty table gives an empty table.
     """
     known = sorted({w for group in stop_words.values() for w in group})
-    measured = docs.select(*[F.col(c) for c in keep], measures(F.col(text), known).alias("m"))
-    m = F.col("m")
-    base = fails_base(m, min_words, max_repeat_percent)
-    failed = F.filter(F.array(*[F.when(~holds(r, m), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    judged = measured.select(*keep, "m", base.alias("base_failed"), failed.alias("failed"))
-    return judged.select(*keep, "m.*", "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
+
+    def outcome(m: Column) -> Column:
+        base = fails_base(m, min_words, max_repeat_percent)
+        failed = F.filter(F.array(*[F.when(~holds(r, m), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        fields = [*[m[c].alias(c) for c in MEASURES], base.alias("base_failed"), failed.alias("failed")]
+        return F.struct(*fields, (~base & (F.size(failed) == 0)).alias("kept"))
+
+    # One expression that binds the measures, so that a filter on the result does not compute them for each of its parts.
+    return docs.select(*[F.col(c) for c in keep], let(measures(F.col(text), known), outcome).alias("_out")).select(*keep, "_out.*")
 
 
 def kept_rows(
