@@ -71,7 +71,9 @@ def count_words(pages: DataFrame, html_col: str = "html", words: int = WORDS) ->
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<[^>]*+>|&\w+;", " "))
     word = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
     counted = word.groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()}
+    # Merged by an executor: collected at once, every task would send as many rows to the driver.
+    most = materialize(counted.orderBy(F.desc("n"), "word").limit(words), "words")
+    return {r["word"]: r["n"] for r in most.collect()}
 
 
 class Segmenter:
@@ -156,7 +158,7 @@ def train(rows: DataFrame, seeds: Sequence[str] = tuple(SEEDS), size: int = TOKE
     counted = each.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
     counted = materialize(counted, "token-counts")
     kinds, bad, good = counted.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    listed = counted.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(size).collect()
+    listed = materialize(counted.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(size), "tokens").collect()
 
     def odds(in_bad: int, in_good: int) -> float:
         return math.log((in_bad + 1) / (bad + kinds + 1)) - math.log((in_good + 1) / (good + kinds + 1))
