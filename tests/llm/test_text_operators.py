@@ -1,8 +1,10 @@
 """BPE, HTML extraction, URL filter."""
 
 import html
+import math
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -162,3 +164,34 @@ def test_classifier_on_held_out_urls(spark):
     rows = [(k, u, words) for k, u in enumerate([*held, *bad, *good])]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=()).collect()}
     assert [got[k] for k in range(4)] == ["block", "block", "allow", "allow"]
+
+
+def test_rare_and_long_words_of_names_count(spark):
+    """More than 50,000 words and tokens are more frequent than those that matter, and one word has 30 letters."""
+    def name(k):
+        return "".join(chr(97 + k // 26**i % 26) for i in range(4))
+
+    filler = [name(7 * k) for k in range(51_000)]
+    long = "pneumonoultramicroscopicsilico"
+    paths = [" ".join(filler[k : k + 100]) for k in range(0, len(filler), 100)]
+    rows = [(f"http://river.example.org/{p.replace(' ', '/')}", f"<p>{p}") for p in paths for _ in range(4)]
+    rows += [("http://casino-quiltzebra.org/", f"<p>quilt zebra {long} quilt zebra"), (f"http://casino{long}.org/", None), (f"http://zebra{long}quilt.org/", None)]
+    rows += [("http://casino-quiltzebra.org/", None), (None, None), ("http://" + long * 40 + ".org", None)]
+    counted = Counter(w for _, page in rows for w in re.findall("[a-z]{2,}", (page or "").replace("<p>", "")))
+    cut = url_filter.Segmenter(counted).cut
+    assert cut(f"zebra{long}quilt") == ("zebra", long, "quilt")
+    tokens = []
+    for url, _ in rows:
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        names = host.split(".")
+        parts = [("host", n) for x in names[:-1] for n in x.split("-")] + [("path", n) for n in path.split("/")]
+        tokens.append([f"{kind}:{w}" for kind, n in parts for w in cut(n)] + ([f"top:{names[-1]}"] if url else []))
+    is_bad = [any(t.split(":")[1] in url_filter.SEEDS and t[:3] != "top" for t in found) for found in tokens]
+    bad, good = (Counter(t for found, b in zip(tokens, is_bad) if b == side for t in found) for side in (True, False))
+    kinds = len(bad | good)
+    assert kinds > 50_000 and len(counted) > 50_000
+    odds = {t: math.log((bad[t] + 1) / (bad.total() + kinds + 1) * (good.total() + kinds + 1) / (good[t] + 1)) for t in bad | good}
+    prior = math.log((sum(is_bad) + 1) / (len(rows) - sum(is_bad) + 1))
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.score for r in url_filter.judge(table).collect()}
+    assert got == pytest.approx({k: prior + sum(odds[t] for t in found) for k, found in enumerate(tokens)})
