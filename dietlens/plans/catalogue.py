@@ -46,7 +46,7 @@ CURATED = ["src0-de", "src1-fr"]
 K = 5
 BIN = 0.05
 EPS, MIN_POINTS, MIN_SIZE = 0.08, 4, 10
-TFIDF_SIZE = 256
+TFIDF_SIZE = encode.EMBEDDING_SIZE
 
 _KEY = ["doc_id", "text_pos"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dietlens.operators import cluster as C
 from dietlens.operators import models as ML
+from dietlens.plans import catalogue
 from dietlens.session import new_path
 
 
@@ -109,3 +110,10 @@ def test_boosted(blobs):
 def test_nothing_trained(blobs):
     with pytest.raises(ValueError):
         ML.train_and_compare(ML.prepare_training(blobs), {})
+
+
+def test_registered_queries_encode_at_full_width(spark, sf_dir):
+    assert {r.dim for r in catalogue.encode_text(spark, sf_dir).select("dim").distinct().collect()} == {768}
+    built = catalogue.corpus(spark, sf_dir)
+    assert {r.dim for r in built.vectors.select(F.size("embedding").alias("dim")).distinct().collect()} == {768}
+    assert catalogue.retrieve(spark, sf_dir).select("query_id").distinct().count() == catalogue._asked(spark, sf_dir).count()
