@@ -53,16 +53,34 @@ APART_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody content main post entry story body text prose".split())
 
-_TAG = re.compile(
-    r"<!--.*?-->|<!--.*+|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^<>\"']*+(?:(?:\"[^\"]{0,4096}+\"|'[^']{0,4096}+')[^<>\"']*+)*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
-)
+_TAG = re.compile(r"<!--.*?-->|<!--.*+|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_PLAIN = re.compile(r"[^<>\"']*+")
 _SIGN = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
+def _tag_end(source: str, at: int, unclosed: dict[str, int]) -> int:
+    """Where the attributes from `at` on end: at the first `>` outside of quoted values, of any length.
+
+    If a quote does not close, or `<` comes before, at the first `>` at all; there is one. `unclosed` keeps from where on a quote
+    is known not to close.
+    """
+    place = at
+    while True:
+        place = _PLAIN.match(source, place).end()
+        sign = source[place : place + 1]
+        if sign == ">":
+            return place
+        if sign not in ("'", '"') or place >= unclosed.get(sign, len(source)):
+            return source.find(">", at)
+        close = source.find(sign, place + 1)
+        if close < 0:
+            unclosed[sign] = place
+            return source.find(">", at)
+        place = close + 1
+
+
 class Page:
     """The tree of a page in document order: parents stand before their children.
 
@@ -149,18 +167,21 @@ class Page:
 
     def _read(self, source: str) -> None:
         at = 0
+        unclosed: dict[str, int] = {}
         last = source.rfind(">") + 1  # no tag ends behind it
         while match := _TAG.search(source, at, last):
             if match.start() > at:
                 self._add(source[at : match.start()])
             at = match.end()
-            end, tag, attributes = match.group(1, 2, 3) if match[2] else match.group(4, 5, 6)
+            end, tag = match.group(1, 2)
             if tag is None:
                 if match[0].startswith("<!--") and not match[0].endswith("-->"):
                     return  # the rest is a comment
                 if match[0].startswith("<![CDATA["):
                     self._add(html.escape(match[0][9:-3]))
                 continue
+            stop = _tag_end(source, at, unclosed)
+            attributes, at = source[at:stop], stop + 1
             tag = tag.lower()
             if end:
                 self._close(frozenset([tag]), frozenset() if tag in KIND or tag in SKIPPED else _BLOCKS)

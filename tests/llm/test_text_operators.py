@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -132,6 +133,18 @@ def test_odd_pages(spark):
     assert html_text.extract(table.filter("false"), html_text.train(table.filter("false"))).count() == 0
 
 
+def test_quoted_values_of_any_length():
+    value = "<p>hidden > text</p>" * 1_000
+    for quote in "'\"":
+        page = html_text.Page(f"<article><div class=a data-state={quote}{value}{quote} id=b><p>One two.</p></div></article>")
+        assert list(page.text.values()) == ["One two."] and len(page.parent) == 5
+    assert list(html_text.Page("<p title=\"open>One.</p><p>Two's.</p>").text.values()) == ["One.", "Two's."]
+    started = time.monotonic()
+    for unit in ("<a \"", "<a '>\"", "<a \">\"\" '", "<a '\">' "):
+        html_text.Page(unit * 100_000 + ">")
+    assert time.monotonic() - started < 30
+
+
 def test_hosts_are_cut_into_words():
     cut = url_filter.Segmenter({"cheap": 50, "win": 40, "the": 1000, "paper": 60, "pa": 20, "per": 30, "a": 900}).cut
     assert cut("cheapcasinowin") == ("cheap", "casino", "win") and cut("thepaper") == ("the", "paper")
