@@ -38,6 +38,8 @@ KIND = {tag: kind for kind, tags in _KINDS.items() for tag in tags.split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 SKIPPED = frozenset("head noscript template button select option optgroup datalist object svg math canvas audio video".split())
+# What may stand in a head. Any other start tag, and text, ends a head whose end tag is left out.
+HEAD = frozenset("title meta link base script style noscript noframes template".split())
 # An element ends where one of these begins, unless one of the tags behind it stands between.
 ENDS = {
     **{tag: ("p", "") for tag in KIND if tag not in ("html", "body")},
@@ -116,7 +118,14 @@ class Page:
         self.signs.append(["kind=run", f"length={min(12, len(words).bit_length())}", f"links={links}", f"ends={ends}"])
         self.text[len(self.parent) - 1] = text
 
+    def _end_head(self) -> None:
+        """End a head that was left open, if it is the innermost element."""
+        if self._stack[-1][0] == "head":
+            self._pop()
+
     def _add(self, raw: str) -> None:
+        if self._skip and raw.strip():
+            self._end_head()
         if not self._skip:
             self._run.append(raw)
             if self._open["a"]:
@@ -183,13 +192,15 @@ class Page:
             stop = _tag_end(source, at, unclosed)
             attributes, at = source[at:stop], stop + 1
             tag = tag.lower()
+            if not end and tag not in HEAD:
+                self._end_head()
             if end:
                 self._close(frozenset([tag]), frozenset() if tag in KIND or tag in SKIPPED else _BLOCKS)
             elif tag in RAW:
                 close = _CLOSE[tag].search(source, at)
                 at = close.end() if close else len(source)
             else:
-                if tag == "body":  # ends a head that was left open
+                if tag == "body":  # ends a head that was left open, and what is open in it
                     self._close(frozenset(["head"]), frozenset())
                 self._push(tag, attributes)
         if at < len(source):

@@ -145,6 +145,17 @@ def test_quoted_values_of_any_length():
     assert time.monotonic() - started < 30
 
 
+def test_end_tag_of_head_may_be_left_out():
+    def texts(source):
+        return list(html_text.Page(source).text.values())
+
+    head = "<html><head><meta charset=utf-8><title>x</title><style>p {}</style><noscript><p>No.</p></noscript> <template><p>No.</template>\n"
+    for rest in ("<h1>One</h1><p>Two.", "</head><body><h1>One</h1><p>Two.", "</head><h1>One</h1><p>Two.", "<body><h1>One</h1><p>Two.", "One<p>Two.", "<link><h1>One</h1><svg><text>No</text></svg><p>Two."):
+        assert texts(head + rest) == ["One", "Two."]
+    assert texts("<head><title>x</title><textarea>No.</textarea>One<p>Two.") == ["One", "Two."]
+    assert html_text.Model({}).extract("<html><head><title>x</title><h1>Head</h1><article><p>One two three.</p></article>").endswith("One two three.")
+
+
 def test_hosts_are_cut_into_words():
     cut = url_filter.Segmenter({"cheap": 50, "win": 40, "the": 1000, "paper": 60, "pa": 20, "per": 30, "a": 900}).cut
     assert cut("cheapcasinowin") == ("cheap", "casino", "win") and cut("thepaper") == ("the", "paper")
