@@ -5,9 +5,10 @@ signature by a hash of its own path, and a class goes on to the child named by i
 the paths of a linked pair multiply faster than they die out, so the chance to meet does not fall with depth; trees are repeated
 until all of them miss a pair at the threshold with at most the probability that the target recall leaves.
 
-A node is small when all but LIMIT of its classes are known to be connected: the others are then compared with every class of it.
-In larger nodes one class, the pivot, is compared with all before the node branches; a group of near copies, which no branching
-parts, is connected by that. Comparing means a sketch of the signature first and the full shingle sets after that.
+Nodes of at most NODE classes are compared exhaustively. In larger ones one class, the pivot, is compared with all, which connects
+a group of near copies that no branching parts; if all but LIMIT classes are connected then, the others are compared with every
+class of the node, and else it branches. Comparing means a sketch of the signature first and the full shingle sets after that.
+Pairs that known links connect are not compared: each node first tests a star and the closest partners, then what is still apart.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +33,53 @@ SHINGLE, PERCENT, RECALL = 3, 85, 0.9999
 SEED = 11
 COORDINATES = 64
 BRANCHES = 2
-#: Classes outside the largest connected part of a node, from which on it branches.
+#: Most classes of a node that one task compares.
+NODE = 2048
+#: Classes outside the largest connected part of a larger node, from which on it branches.
 LIMIT = 64
+BLOCK = 64
 #: Nodes of this depth do not branch; their classes are compared in blocks of LIMIT.
 DEPTH = 12
 #: Classes compared with one hub in one group.
 HUB_GROUP = 4096
 SKETCH_MISS = 1e-5
 SEGMENT = 4096
+#: Word hashes that a worker remembers.
+WORDS = 1 << 20
 ROWS = 256
 CHUNK_BYTES = 4 << 20
 
 
+class _Words(dict):
+    """Hashes of words, forgotten when they are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_WORDS = _Words()
+
+
+@lru_cache
+def _factors(size: int) -> np.ndarray:
+    return np.random.default_rng([SEED, size]).integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles of a text in UTF-8; none for a text without words."""
     tokens = text.lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    joined = b" ".join(tokens)
-    ends = list(accumulate(len(t) + 1 for t in tokens))
-    spans = zip([0, *ends], ends[min(shingle, len(tokens)) - 1 :], strict=False)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in spans), np.uint64))
+    hashes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    size = min(shingle, len(tokens))
+    factors = _factors(size)
+    n = len(tokens) - size + 1
+    mixed = sum((hashes[k : k + n] * factors[k] for k in range(1, size)), hashes[:n] * factors[0])
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * factors[0]
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
 @lru_cache
@@ -172,6 +197,63 @@ def _near_listed(rows: DataFrame, least: int, percent: int) -> DataFrame:
     return columns.mapInArrow(run, "member long, hub long")
 
 
+def _agreement(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, agreeing coordinates with all rows) of blocks of rows."""
+    for at in range(0, len(sketch), BLOCK):
+        yield at, (sketch[at : at + BLOCK, None, :] == sketch[None, :, :]).sum(axis=2)
+
+
+def _pairs(cls: np.ndarray, size: np.ndarray, color: np.ndarray, sketch: np.ndarray, least: int, percent: int, first: bool):
+    """(member, hub) of rows of one node, sorted by class, that differ in colour and may be linked; hub is the smaller one.
+
+    With `first` only those with the first row, and the closest partner of each row.
+    """
+    members, hubs = [], []
+    for at, agree in _agreement(sketch):
+        rows = slice(at, at + BLOCK)
+        small, large = np.minimum.outer(size[rows], size), np.maximum.outer(size[rows], size)
+        fits = (agree >= least) & (color[rows, None] != color) & (100 * small >= percent * large)
+        if first:
+            best = np.argmax(np.where(fits, agree, -1), axis=1)
+            pick = np.zeros_like(fits)
+            pick[np.arange(len(best)), best] = True
+            pick[:, 0] = True
+            fits &= pick
+        else:
+            fits &= np.arange(len(cls)) < np.arange(at, at + len(fits))[:, None]
+        i, j = np.nonzero(fits)
+        members.append(cls[np.maximum(i + at, j)])
+        hubs.append(cls[np.minimum(i + at, j)])
+    return np.concatenate(members), np.concatenate(hubs)
+
+
+def _pairs_of_nodes(members: DataFrame, least: int, percent: int, first: bool) -> DataFrame:
+    """`_pairs` of nodes with at most NODE classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(columns: list[np.ndarray], sketch: np.ndarray) -> pa.RecordBatch:
+            node = columns[0]
+            edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else [0]
+            found = [
+                _pairs(*(c[a:b] for c in columns[1:]), sketch[a:b], least, percent, first)
+                for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1
+            ]
+            found = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["member", "hub"])
+
+        waiting = [np.empty(0, np.int64) for _ in range(4)], np.empty((0, COORDINATES), np.uint8)
+        for batch in batches:
+            columns = [np.concatenate([w, batch.column(k).to_numpy()]) for k, w in enumerate(waiting[0])]
+            sketch = np.concatenate([waiting[1], _matrix(batch.column(4))])
+            done = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0  # the last node may go on
+            yield out([c[:done] for c in columns], sketch[:done])
+            waiting = [c[done:] for c in columns], sketch[done:]
+        yield out(*waiting)
+
+    columns = members.select("node", "cls", "n_shingles", "color", "sketch").repartition("node").sortWithinPartitions("node", "cls")
+    return columns.mapInArrow(run, "member long, hub long").distinct()
+
+
 def _sent(texts: DataFrame, shingle: int) -> DataFrame:
     """The shingle set of each text, once for each group that asks for it."""
 
@@ -307,29 +389,37 @@ def linked(classes: DataFrame, docs: DataFrame, data: str, row: Sequence[str], s
         members = join_counted(level, nodes, ["node"], "n", n_rows).select("node", "cls").join(slim, "cls")
         members = materialize(_colored(members, known), "members")
 
-        # Every class of a node meets the node's pivot.
-        pivots = members.groupBy("node").agg(
+        # A star of every node, and in nodes that fit a task the closest pairs.
+        nodes = members.groupBy("node").agg(
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("p"),
             F.min("color").alias("low"), F.max("color").alias("high"),
         ).filter("low < high").select("node", "n", F.col("p.cls").alias("pivot"))
         shown = slim.select(F.col("cls").alias("pivot"), F.col("n_shingles").alias("pivot_size"), F.col("sketch").alias("pivot_sketch"))
-        pivots = materialize(pivots.join(shown, "pivot"), "pivots")
-        met = join_counted(members, pivots, ["node"], "n", n_rows)
+        nodes = materialize(nodes.join(shown, "pivot"), "nodes")
+        small, crowded = nodes.filter(F.col("n") <= NODE), nodes.filter(F.col("n") > NODE)
+        within = members.join(small.select("node"), "node", "left_semi")
+        met = join_counted(members, crowded, ["node"], "n", n_rows)
         met = met.filter((F.col("cls") != F.col("pivot")) & _sizes_fit(F.col("n_shingles"), F.col("pivot_size"), percent))
-        stars = materialize(_near_pivot(met, least).distinct(), "stars")
-        known = _joined(known, materialize(confirmed(stars, classes, docs, data, row, shingle, percent), "links"))
-
-        # Small nodes are compared exhaustively; the others branch.
-        members = materialize(_colored(members.drop("color").join(pivots.select("node"), "node", "left_semi"), known), "members")
-        per_color = members.groupBy("node", "color").agg(F.count("*").alias("k"))
+        tested = _pairs_of_nodes(within, least, percent, True).unionByName(_near_pivot(met, least)).distinct()
+        tested = materialize(tested, "tested")
+        known = _joined(known, materialize(confirmed(tested, classes, docs, data, row, shingle, percent), "links"))
+
+        # What is still apart: all pairs in nodes that fit a task; in others the few against all, or they branch.
+        members = materialize(_colored(members.drop("color").join(nodes.select("node"), "node", "left_semi"), known), "members")
+        within = members.join(small.select("node"), "node", "left_semi")
+        per_color = members.join(crowded.select("node"), "node", "left_semi").groupBy("node", "color").agg(F.count("*").alias("k"))
         parts = per_color.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "color")).alias("top"))
         parts = parts.select("node", "n", F.col("top.color").alias("major"), (F.col("n") - F.col("top.k")).alias("n_minor"))
         parts = materialize(parts.filter("n_minor > 0"), "parts")
-        small = parts if depth == DEPTH else parts.filter(F.col("n_minor") <= LIMIT)
-        rest = materialize(_exhausted(members, small, n_rows, least, percent).join(stars, ["member", "hub"], "left_anti"), "rest")
+        last = depth == DEPTH
+        few = parts if last else parts.filter(F.col("n_minor") <= LIMIT)
+        rest = _pairs_of_nodes(within, least, percent, False)
+        if not few.isEmpty():
+            rest = rest.unionByName(_exhausted(members, few, n_rows, least, percent)).distinct()
+        rest = materialize(rest.join(tested, ["member", "hub"], "left_anti"), "rest")
         known = _joined(known, materialize(confirmed(rest, classes, docs, data, row, shingle, percent), "links"))
-        large = materialize(parts.filter(F.col("n_minor") > LIMIT), "large")
-        if depth == DEPTH or large.isEmpty():
+        large = parts.filter(F.col("n_minor") > LIMIT)
+        if last or large.isEmpty():
             break
         going = join_counted(members.select("node", "cls"), large.select("node", "n"), ["node"], "n", n_rows)
         level = materialize(_children(going.join(classes.select("cls", "mins"), "cls")), "level")

@@ -51,4 +51,54 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
        CASE WHEN again THEN first_id END AS refers_to FROM g
 """
 
-ORACLE = {"op5_warc": WARC, "op9_exact_dedup": DEDUP, "op8_quality_rules": QUALITY}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MINHASH = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r,
+    list_filter(string_split_regex({_LOWER}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(list_slice(ws, i, i + 2), ' ') AS g
+      FROM d, range(1, greatest(len(ws) - 1, 2)) t(i) WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM g AS a JOIN g AS b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+half AS (SELECT a, b FROM common JOIN n AS x ON a = x.r JOIN n AS y ON b = y.r WHERE 100 * k >= 85 * (x.n + y.n - k)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON reach.b = d.r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least USING (r) LEFT JOIN n USING (r)
+"""
+
+SEARCH = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERMS}') AS ts FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS t FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+m AS (SELECT r, 25 + (75 * len(ts) * n_docs) // n_terms AS m FROM d, s WHERE len(ts) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, n_docs),
+scored AS (SELECT item_id, q, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM i JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) JOIN d USING (r) GROUP BY item_id, q, doc_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b, s.b AS c, p.score AS ps, s.score AS ns,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, b AS positive_id, rank::INTEGER AS rank, c AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE rank <= 3
+"""
+
+ORACLE = {
+    "op5_warc": WARC, "op9_exact_dedup": DEDUP, "op8_quality_rules": QUALITY,
+    "op11_minhash": MINHASH, "op12_search": SEARCH, "op13_hard_negatives": HARD_NEGATIVES,
+}

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dietlens.llm import bpe, chosen_path, dedup, html_text, mixing, pii, quality, secrets, simhash, spans, url_filter, warc
+from dietlens.llm import (
+    bpe, chosen_path, dedup, hard_negatives, html_text, mixing, pii, quality, secrets, signature_search, simhash, spans, url_filter, warc,
+)
 from dietlens.llm.common import table
 
 
@@ -102,6 +104,17 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every item of the benchmark."""
+    return signature_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every fiftieth vector; every seventh has the label behind its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_pii": op2_pii,
@@ -114,4 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_minhash": op11_minhash,
+    "op12_search": op12_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
