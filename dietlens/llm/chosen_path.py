@@ -44,25 +44,10 @@ DEPTH = 12
 HUB_GROUP = 4096
 SKETCH_MISS = 1e-5
 SEGMENT = 4096
-#: Word hashes that a worker remembers.
-WORDS = 1 << 20
 ROWS = 256
 CHUNK_BYTES = 4 << 20
 
 
-class _Words(dict):
-    """Hashes of words, forgotten when they are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return value
-
-
-_WORDS = _Words()
-
-
 @lru_cache
 def _factors(size: int) -> np.ndarray:
     return np.random.default_rng([SEED, size]).integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,13 +58,14 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     tokens = text.lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
     size = min(shingle, len(tokens))
     factors = _factors(size)
     n = len(tokens) - size + 1
     mixed = sum((hashes[k : k + n] * factors[k] for k in range(1, size)), hashes[:n] * factors[0])
     mixed = (mixed ^ (mixed >> np.uint64(32))) * factors[0]
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+    mixed = np.sort(mixed ^ (mixed >> np.uint64(29)))
+    return mixed[np.r_[True, mixed[1:] != mixed[:-1]]]
 
 
 @lru_cache
