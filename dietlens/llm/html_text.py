@@ -12,8 +12,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +31,11 @@ _KINDS = {
     "article": "article main",
     "apart": "nav header footer aside form menu dialog address fieldset",
     "heading": "h1 h2 h3 h4 h5 h6 hgroup",
-    "text": "p blockquote pre figcaption summary dd dt",
-    "block": "html body div section center details figure hr ul ol li dl table thead tbody tfoot tr td th caption",
+    "text": "p blockquote pre figcaption summary caption",
+    "list": "ul ol dl table thead tbody tfoot tr",
+    "item": "li dt dd td th",
+    "page": "html body",
+    "block": "div section center details figure hr",
 }
 KIND = {tag: kind for kind, tags in _KINDS.items() for tag in tags.split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +58,7 @@ APART_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody content main post entry story body text prose".split())
 
-_TAG = re.compile(r"<!--.*?-->|<!--.*+|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_TAG = re.compile(r"<!--.*?-->|<!--.*+|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
 _PLAIN = re.compile(r"[^<>\"']*+")
 _SIGN = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -90,10 +93,11 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.parent, self.signs, self.region = [-1], [["kind=block"]], [None]
+        self.parent, self.signs, self.region = [-1], [["kind=page"]], [None]
         self.text: dict[int, str] = {}
         self._stack: list[tuple[str, int]] = [("", 0)]  # tag and node; of inline elements the node around them
-        self._open: Counter = Counter()
+        self._places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, in the stack
+        self._blocks: list[int] = []
         self._run: list[str] = []
         self._linked = 0
         self._skip = 0
@@ -115,7 +119,9 @@ class Page:
         ends = "stop" if text[-1] in ".!?…。\"'”»)" else "open"
         self.parent.append(block)
         self.region.append(None)
-        self.signs.append(["kind=run", f"length={min(12, len(words).bit_length())}", f"links={links}", f"ends={ends}"])
+        # An item is short, open-ended and often a link wherever it stands: what is around it tells.
+        form = [f"links={links}", f"length={min(12, len(words).bit_length())}", f"ends={ends}"]
+        self.signs.append(["kind=run", *([f"item={links}"] if self.signs[block][0] == "kind=item" else form)])
         self.text[len(self.parent) - 1] = text
 
     def _end_head(self) -> None:
@@ -128,7 +134,7 @@ class Page:
             self._end_head()
         if not self._skip:
             self._run.append(raw)
-            if self._open["a"]:
+            if self._places["a"]:
                 self._linked += len(raw)
 
     def _pop(self) -> None:
@@ -138,19 +144,19 @@ class Page:
         if tag in SKIPPED:
             self._skip -= 1
         self._stack.pop()
-        self._open[tag] -= 1
+        self._places[tag].pop()
+        if tag in KIND:
+            self._blocks.pop()
 
-    def _close(self, tags: frozenset[str], barrier: frozenset[str]) -> None:
-        """End the innermost open element of `tags`, and those in it, if no barrier stands between."""
-        if not any(self._open[t] for t in tags):
-            return
-        depth = len(self._stack) - 1
-        while depth and self._stack[depth][0] not in tags:
-            if self._stack[depth][0] in barrier:
-                return
-            depth -= 1
-        while len(self._stack) > depth > 0:
-            self._pop()
+    def _close(self, tags: frozenset[str], barrier: frozenset[str] | None) -> None:
+        """End the innermost open element of `tags`, and those in it, if no barrier (None: no block) stands between."""
+        depth = self._last(tags)
+        if depth and depth >= (self._blocks[-1] if barrier is None and self._blocks else self._last(barrier or ())):
+            while len(self._stack) > depth:
+                self._pop()
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
 
     def _push(self, tag: str, attributes: str) -> None:
         if tag in _ENDS:
@@ -169,8 +175,10 @@ class Page:
         if tag in VOID:
             self._add(" ")
             return
+        self._places[tag].append(len(self._stack))
+        if tag in KIND:
+            self._blocks.append(len(self._stack))
         self._stack.append((tag, node))
-        self._open[tag] += 1
         if tag in SKIPPED:
             self._skip += 1
 
@@ -178,6 +186,7 @@ class Page:
         at = 0
         unclosed: dict[str, int] = {}
         last = source.rfind(">") + 1  # no tag ends behind it
+        last_data = source.rfind("]]>")
         while match := _TAG.search(source, at, last):
             if match.start() > at:
                 self._add(source[at : match.start()])
@@ -187,7 +196,10 @@ class Page:
                 if match[0].startswith("<!--") and not match[0].endswith("-->"):
                     return  # the rest is a comment
                 if match[0].startswith("<![CDATA["):
-                    self._add(html.escape(match[0][9:-3]))
+                    close = source.find("]]>", at) if at <= last_data else -1
+                    if close >= 0:
+                        self._add(html.escape(source[at:close]))
+                    at = close + 3 if close >= 0 else source.find(">", at) + 1
                 continue
             stop = _tag_end(source, at, unclosed)
             attributes, at = source[at:stop], stop + 1
@@ -195,7 +207,7 @@ class Page:
             if not end and tag not in HEAD:
                 self._end_head()
             if end:
-                self._close(frozenset([tag]), frozenset() if tag in KIND or tag in SKIPPED else _BLOCKS)
+                self._close(frozenset([tag]), frozenset() if tag in KIND or tag in SKIPPED else None)
             elif tag in RAW:
                 close = _CLOSE[tag].search(source, at)
                 at = close.end() if close else len(source)
@@ -207,9 +219,6 @@ class Page:
             self._add(source[at:])
 
 
-_BLOCKS = frozenset(KIND)
-
-
 def labels(page: Page) -> list[int] | None:
     """The states of a page whose markup names its article: each region's for its nodes; None if it names none."""
     if CONTENT not in page.region:
@@ -232,19 +241,26 @@ def counts(page: Page, states: Sequence[int]) -> Counter:
     return out
 
 
-#: Made-up shares by state (neutral, content, apart): what the names mean. Each table is the mean of these and of the counted shares,
-#: because labelled pages of one kind say nothing about what they never show.
+#: Made-up shares by state (neutral, content, apart): what the names mean. They count like PSEUDO nodes of each state beside the
+#: counted ones, so they fade as labelled pages grow, and stay where these never show a sign.
+PSEUDO = 1000
 STEPS = {NEUTRAL: (60, 8, 32), CONTENT: (1, 90, 9), APART: (0.95, 0.05, 99)}
 SIGNS = {
     "kind=article": (0.01, 30, 0.01), "kind=apart": (0.01, 0.01, 60), "kind=heading": (1, 10, 6), "kind=text": (2, 60, 15), "kind=block": (80, 30, 60),
+    "kind=list": (10, 20, 30), "kind=item": (10, 40, 60), "kind=page": (20, 0.2, 0.02),
     "kind=run": (2, 60, 60),
     "words=apart": (0.01, 0.01, 60), "words=article": (4, 60, 0.5), "words=none": (80, 60, 60),
     "links=none": (60, 80, 50), "links=some": (10, 20, 10), "links=many": (10, 3, 20), "links=most": (10, 1, 60),
+    "item=none": (60, 70, 50), "item=some": (10, 15, 10), "item=many": (10, 6, 20), "item=most": (20, 9, 40),
     "ends=stop": (30, 80, 30), "ends=open": (60, 20, 80), **{f"length={k}": (10, 10, 10) for k in range(1, 13)},
 }
 #: How far a sign may speak for one state over another, as a ratio. Names speak as loud as they are counted; form is
 #: damped, because the signs of a text, and of the texts beside it, say much the same.
-DAMPED = {"kind=text": 4.5, "kind=heading": 3.0, "kind=block": 3.0, "kind=run": 20.0, "words=article": 30.0, "words=none": 2.0, "links": 20.0, "ends": 3.0, "length": 4.5}
+DAMPED = {
+    # Lists and tables make up menus as well as articles, and labelled pages may show but one of these.
+    "kind=list": 1.2, "kind=item": 1.05, "item": 1.2,
+    "kind=text": 4.5, "kind=heading": 3.0, "kind=block": 2.0, "kind=run": 20.0, "words=article": 30.0, "words=none": 2.0, "links": 20.0, "ends": 3.0, "length": 4.5,
+}
 
 
 class Model:
@@ -254,7 +270,7 @@ class Model:
         self.step = []
         for above in range(3):
             row = [found.get(f"{above}>{s}", 0) for s in range(3)]
-            self.step.append([(m / sum(STEPS[above]) + (c / sum(row) if any(row) else m / sum(STEPS[above]))) / 2 for m, c in zip(STEPS[above], row, strict=True)])
+            self.step.append([(PSEUDO * m / sum(STEPS[above]) + c) / (PSEUDO + sum(row)) for m, c in zip(STEPS[above], row, strict=True)])
         names: dict[str, list[str]] = {}
         for sign in SIGNS:
             names.setdefault(sign.split("=")[0], []).append(sign)
@@ -263,10 +279,9 @@ class Model:
             made = [sum(SIGNS[x][s] for x in signs) for s in range(3)]
             seen = [sum(found.get(f"{s} {x}", 0) for x in signs) for s in range(3)]
             for sign in signs:
-                share = []
-                for s in range(3):
-                    guess = SIGNS[sign][s] / made[s]
-                    share.append((guess + (found.get(f"{s} {sign}", 0) / seen[s] if seen[s] else guess)) / 2)
+                share = [
+                    (PSEUDO * SIGNS[sign][s] / made[s] + found.get(f"{s} {sign}", 0)) / (PSEUDO + seen[s]) for s in range(3)
+                ]
                 limit = DAMPED.get(sign, DAMPED.get(name, math.inf))
                 middle = sorted(share)[1]
                 self.sign[sign] = tuple(min(max(x / middle, 1 / limit), limit) for x in share)
@@ -341,8 +356,9 @@ def extract(
 ) -> DataFrame:
     """Per row the `keep` columns and the main text, empty if there is none or the page is null.
 
-    Rows are read one by one, so repeated rows and null ids are like others. An empty table gives an empty table. Other columns
-    are not read.
+    Rows are read one by one, so repeated rows and null ids are like others. An empty table gives an empty table. Pages of any length
+    are read whole, in time that grows with their length, as do nested and unclosed tags. Other columns are not read, whatever
+    their names.
     """
     data = fresh("html")
 

@@ -14,13 +14,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dietlens.functions.text import let
 from dietlens.llm.spans import digits, find_all, of_kind, passes_luhn
-from dietlens.session import materialize
+from dietlens.session import materialize, new_path, remove
 
 # Fixed patterns of the contract. The look-behinds and possessive forms match the same and never read a run twice.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++"
@@ -29,11 +30,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
-# Wider patterns of the candidates.
+# Wider patterns of the candidates. Groups repeated without a bound are possessive: others recurse once per repetition.
 NUMBER = r"(?<![0-9A-Za-z])\+?\(?[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z])"
 CONTACT = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+"
-    r"(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]+)+"
+    r"(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]++)++"
 )
 NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,20}+(?: \p{Lu}\p{Ll}{1,20}+){1,2}(?!\p{L})"
 KINDS = ("number", "contact", "name")
@@ -140,12 +141,40 @@ def features(c: Column) -> list[Column]:
     return [F.concat(c["kind"], F.lit(f":{name}:"), v.cast("string")) for name, v in values.items()]
 
 
+def _overlaps(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of `spans`, which stand in order and do not overlap each other, has a place between `start` and `end`.
+
+    Bisection for the last span that begins before `end`: a text may hold very many spans and candidates.
+    """
+    size = F.size(spans)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int") + 1)
+    bounds = F.struct(F.lit(0).alias("low"), size.alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        less = (at["low"] < at["high"]) & (F.get(spans, middle)["start"] < end)
+        return F.struct(
+            F.when(less, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(less | (at["low"] >= at["high"]), at["high"]).otherwise(middle).alias("high"),
+        )
+
+    last = F.aggregate(steps, bounds, halve, lambda at: F.get(spans, at["low"] - 1)["end"])
+    return F.when(size == 0, F.lit(False)).otherwise(F.coalesce(last > start, F.lit(False)))
+
+
 def candidates(text: Column, base: Column) -> Column:
     """Array of (kind, start, end, text, before, after, votes, known); known: it overlaps a base span."""
 
+    def only(kind: str) -> Column:
+        return F.filter(base, lambda b: b["kind"] == kind).alias(kind)
+
+    return let(F.struct(*[only(k) for k in BASE]), lambda found: _candidates(text, found))
+
+
+def _candidates(text: Column, base: Column) -> Column:
     def of(kind: str, pattern: str) -> Column:
         def one(c: Column) -> Column:
-            known = F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+            known = reduce(lambda a, b: a | b, [_overlaps(base[k], c["start"], c["end"]) for k in BASE])
             fields = [c[name].alias(name) for name in ("start", "end", "text", "before", "after")]
             return F.struct(F.lit(kind).alias("kind"), *fields, votes(c, kind).alias("votes"), known.alias("known"))
 
@@ -248,11 +277,22 @@ def find(
     """Per row: `id_col`, the `keep` columns, base and added: arrays of (kind, rank, start, end); and the model.
 
     A null text is an empty one and has no spans. Rows are judged one by one, so repeated rows and null ids are treated like others; all
-    rows count for the model. An empty table gives an empty table. Other columns are not read.
+    rows count for the model. An empty table gives an empty table. Texts of any length are searched whole, in time that grows a little
+    faster than their length. Other columns are not read, whatever their names; `keep` must not name base or added.
+
+    The candidates, which hold personal data in plain text, are removed from the shared folder before this returns.
     """
-    carried = list(dict.fromkeys([id_col, *keep]))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    carried = [F.col(f"`{c}`") for c in dict.fromkeys([id_col, *keep])]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     both = let(text, lambda t: let(base_spans(t), lambda base: F.struct(base.alias("base"), candidates(t, base).alias("candidates"))))
-    found = materialize(docs.select(*carried, both.alias("_found")).select(*carried, "_found.*"), "candidates")
-    model = train(found, rounds)
-    return found.select(*carried, "base", added_spans(F.col("candidates"), model).alias("added")), model
+    found = docs.select(F.struct(*carried).alias("own"), both.alias("found")).select("own", "found.*")
+    path = new_path(docs.sparkSession, "candidates")
+    try:
+        found.write.parquet(path)
+        found = docs.sparkSession.read.schema(found.schema).parquet(path)
+        model = train(found, rounds)
+        spans = materialize(found.select("own", "base", added_spans(F.col("candidates"), model).alias("added")), "spans")
+    finally:
+        remove(docs.sparkSession, path)
+    own = [F.col("own")[c].alias(c) for c in dict.fromkeys([id_col, *keep])]
+    return spans.select(*own, "base", "added"), model

@@ -1,12 +1,19 @@
 """Plain versions of the operators, row by row."""
 
+import random
 import re
 
 import xxhash
 
+WORDS = "the of and to a in that is was it river stone paper window garden letter summer morning market engine".split()
 BLANK = re.compile("[ \t\n\x0b\f\r]+")
 
 
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + (rng.choice(WORDS) if rng.random() < 0.4 else "") for _ in range(n))
+
+
 def tokens(text):
     return [w for w in BLANK.split(text or "") if w]
 

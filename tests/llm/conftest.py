@@ -1,16 +1,8 @@
-import random
-
 import pytest
+from brute import prose
 
-WORDS = "the of and to a in that is was it river stone paper window garden letter summer morning market engine".split()
 LICENSE = "This work is licensed under a licence that nobody reads but everybody copies into every file they make."
 
-
-def prose(seed, n):
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + (rng.choice(WORDS) if rng.random() < 0.4 else "") for _ in range(n))
-
-
 # Every operator meets these: nulls in each column, empty, blank and long texts, ties, copies, whole repeated rows.
 ROWS = [
     (1, prose(1, 120), "s1"), (2, prose(2, 90), "s1"), (3, None, "s2"), (4, "", "s2"), (5, " \t\n\x0b\f\r ", "s2"),

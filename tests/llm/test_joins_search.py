@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import prose
+from brute import prose
 from pyspark.sql import functions as F
 
 from dietlens.llm import chosen_path, hard_negatives, signature_search

@@ -9,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from brute import WORDS, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -156,6 +157,78 @@ def test_end_tag_of_head_may_be_left_out():
     assert html_text.Model({}).extract("<html><head><title>x</title><h1>Head</h1><article><p>One two three.</p></article>").endswith("One two three.")
 
 
+def generated(rng):
+    """A page and the text of its article, block by block."""
+    said = []
+
+    def say(words):
+        said.append(words)
+        return words
+
+    def some(n):
+        return " ".join(rng.choice(WORDS) for _ in range(n))
+
+    def paragraph():
+        return f"<p>{say(some(rng.randrange(8, 60)).capitalize() + '.')}</p>"
+
+    def part():
+        kind = rng.randrange(8)
+        if kind < 3:
+            return paragraph()
+        if kind == 3:
+            tag, end = rng.choice(["ul", "ol"]), rng.choice(["", "</li>"])
+            return f"<{tag}>" + "".join(f"<li>{say(some(rng.randrange(1, 4)))}{end}" for _ in range(rng.randrange(1, 9))) + f"</{tag}>"
+        if kind == 4:
+            head = f"<thead><tr><th>{say('Head')}</th></tr></thead>"
+            rows = ["".join(f"<td>{say(some(1) + str(rng.randrange(99)))}</td>" for _ in range(3)) for _ in range(rng.randrange(1, 5))]
+            return f"<table>{head}<tbody>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</tbody></table>"
+        if kind == 5:
+            return f"<dl><dt>{say(some(1))}<dd>{say(some(3))}</dl>"
+        if kind == 6:
+            return f"<h2>{say(some(2))}</h2><p>{say(some(2).capitalize() + '.')}</p>"
+        return f"<ul><li><a href=x>{say(some(2))}</a></li><li><a href=y>{say(some(1))}</a></li></ul>"
+
+    links = "".join(f"<li><a href=/{k}>{some(1)}</a>" for k in range(rng.randrange(1, 9)))
+    around = [
+        f"<nav><ul>{links}</ul></nav>", f"<div class='site-menu'><ul>{links}</ul></div>", f"<aside><p>{some(20)}.</p></aside>", f"<div id=cookie-notice>{some(9)}.</div>",
+        f"<header><p>{some(5)}</p></header>", f"<div class=sidebar><table><tr><td>{some(2)}</td></tr></table></div>", f"<form><p>{some(6)}</p></form>",
+    ]
+    behind = [f"<section class=comments><ul><li>{some(25)}.</li></ul><p>{some(15)}.</p></section>", f"<footer><p>{some(12)}.</p><ul>{links}</ul></footer>", f"<div class=ad>{some(4)}.</div>"]
+    rng.shuffle(around)
+    inside = [paragraph()] + [part() for _ in range(rng.randrange(1, 12))]
+    inside.insert(rng.randrange(len(inside)), f"<div class=advert>{some(6)}.</div>")
+    page = f"<html><head><title>{some(3)}</title></head><body>{''.join(around[:4])}<article>{''.join(inside)}</article>{''.join(behind)}</body></html>"
+    return page, "\n".join(said)
+
+
+def test_articles_keep_lists_tables_and_short_paragraphs():
+    rng = random.Random(5)
+    made = [generated(rng) for _ in range(300)]
+    total = Counter()
+    for source, _ in made[:150]:
+        page = html_text.Page(source)
+        total.update(html_text.counts(page, html_text.labels(page)))
+    plain = [(f"<article><h1>One</h1><p>{prose(k, 40)}.</p></article>", None) for k in range(200)]
+    few = Counter()
+    for source, _ in plain:
+        page = html_text.Page(source)
+        few.update(html_text.counts(page, html_text.labels(page)))
+    for model in (html_text.Model(total), html_text.Model(few), html_text.Model(total + few)):  # `few` has never seen a list
+        assert [k for k, (source, text) in enumerate(made[150:]) if model.extract(source) != text] == []
+    items = "<article><ul><li>Milk</li><li>Two eggs</li><li>Salt</li><li>Rye</li><li>Oil</li></ul></article>"
+    assert html_text.Model(few).extract(items) == "Milk\nTwo eggs\nSalt\nRye\nOil"
+
+
+@pytest.mark.parametrize("source", [
+    "<a><div>" + "<span>" * 20_000 + "</a>" * 20_000, "<div>" * 100_000 + "</p>" * 100_000, "<![CDATA[" * 100_000 + ">", "<ul><li>" * 100_000,
+    "<b><i>" * 100_000 + "</b></i>" * 100_000, "<td><table>" * 50_000, "<p><b>" * 150_000, "<!--" * 200_000, "<p>" + "x " * 1_000_000,
+])
+def test_long_pages_take_time_in_proportion(source):
+    started = time.monotonic()
+    html_text.Model({}).extract(source)
+    assert time.monotonic() - started < 15
+
+
 def test_hosts_are_cut_into_words():
     cut = url_filter.Segmenter({"cheap": 50, "win": 40, "the": 1000, "paper": 60, "pa": 20, "per": 30, "a": 900}).cut
     assert cut("cheapcasinowin") == ("cheap", "casino", "win") and cut("thepaper") == ("the", "paper")
