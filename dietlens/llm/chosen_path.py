@@ -7,8 +7,10 @@ until all of them miss a pair at the threshold with at most the probability that
 
 Nodes of at most NODE classes are compared exhaustively. In larger ones one class, the pivot, is compared with all, which connects
 a group of near copies that no branching parts; if all but LIMIT classes are connected then, the others are compared with every
-class of the node, and else it branches. Comparing means a sketch of the signature first and the full shingle sets after that.
-Pairs that known links connect are not compared: each node first tests a star and the closest partners, then what is still apart.
+class of the node, and else it branches. Comparing means a sketch first: a byte of each coordinate, and a bitmap in which every
+shingle flips a bit, so that bitmaps of linked texts never differ in more bits than their sets in shingles. Full shingle sets
+decide. Pairs that known links connect are not compared: a node first tests a spanning forest of the pairs that its sketches
+let pass, the closest ones, and then the pairs that are still apart.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ SHINGLE, PERCENT, RECALL = 3, 85, 0.9999
 SEED = 11
 COORDINATES = 64
 BRANCHES = 2
+#: Bits that the shingles of a text flip.
+FLIPS = 2048
 #: Most classes of a node that one task compares.
-NODE = 2048
+NODE = 4096
 #: Classes outside the largest connected part of a larger node, from which on it branches.
 LIMIT = 64
 BLOCK = 64
@@ -82,6 +86,11 @@ def signature(tokens: np.ndarray, seed: int = SEED) -> np.ndarray:
     return np.minimum.reduce(parts)
 
 
+def flips(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap in which each token flips the bit that its hash names."""
+    return np.packbits(np.bincount((tokens % np.uint64(FLIPS)).astype(np.int64), minlength=FLIPS).astype(np.uint8) & 1)
+
+
 def trees(percent: int, recall: float) -> int:
     """How many trees miss a pair at the threshold with probability below 1 - recall, and one for the finite signature."""
     s, miss = percent / 100, 0.0
@@ -101,28 +110,28 @@ def cutoff(percent: int) -> int:
 
 
 def _hashed(docs: DataFrame, data: str, shingle: int) -> DataFrame:
-    """The other columns, n_shingles, the digest of the set, its signature and the sketch: a byte of each coordinate."""
+    """The other columns, n_shingles, the digest of the set, its signature and its sketch."""
     keep = [c for c in docs.columns if c != data]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(data))
-            sizes, digests, mins = [], [], []
+            sizes, digests, mins, sketches = [], [], [], []
             for at in range(0, len(texts), ROWS):
                 for text in texts.slice(at, ROWS).to_pylist():
                     found = shingles(text, shingle)
                     sizes.append(len(found))
                     digests.append(blake2b(found.tobytes(), digest_size=16).digest())
                     mins.append(signature(found) if len(found) else np.zeros(COORDINATES, np.uint64))
+                    sketches.append(mins[-1].astype(np.uint8).tobytes() + flips(found).tobytes())
             flat = np.concatenate(mins) if mins else np.empty(0, np.uint64)
             offsets = pa.array(np.arange(len(mins) + 1, dtype=np.int32) * COORDINATES)
-            sketch = flat.astype(np.uint8).reshape(-1, COORDINATES)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(batch.schema.get_field_index(c)) for c in keep],
                     pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
-                    pa.array([row.tobytes() for row in sketch], pa.binary()),
+                    pa.array(sketches, pa.binary()),
                 ],
                 names=[*keep, "n_shingles", "digest", "mins", "sketch"],
             )
@@ -132,7 +141,7 @@ def _hashed(docs: DataFrame, data: str, shingle: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES + FLIPS // 8)
 
 
 def _sizes_fit(a, b, percent: int):
@@ -140,15 +149,29 @@ def _sizes_fit(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _near_pivot(rows: DataFrame, least: int) -> DataFrame:
-    """(member, hub) of rows (cls, sketch, pivot, pivot_sketch) whose sketches agree in `least` coordinates."""
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of sketches differ, row by row."""
+    flipped = np.ascontiguousarray(a[..., COORDINATES:] ^ b[..., COORDINATES:])
+    return np.bitwise_count(flipped.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def _can_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Whether sketches, row by row, let pairs with `sizes` shingles in both sets together pass."""
+    agree = (a[..., :COORDINATES] == b[..., :COORDINATES]).sum(axis=-1) >= least
+    return agree & ((100 + percent) * _differing(a, b) <= (100 - percent) * sizes)
+
+
+def _near_pivot(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """(member, hub) of rows (cls, n_shingles, sketch, pivot, pivot_size, pivot_sketch) that may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = pa.array((_matrix(batch.column(1)) == _matrix(batch.column(3))).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(2).filter(near)], names=["member", "hub"])
+            sizes = batch.column(2).to_numpy() + batch.column(5).to_numpy()
+            near = pa.array(_can_link(_matrix(batch.column(1)), _matrix(batch.column(4)), sizes, least, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(3).filter(near)], names=["member", "hub"])
 
-    return rows.select("cls", "sketch", "pivot", "pivot_sketch").mapInArrow(run, "member long, hub long")
+    columns = rows.select("cls", "sketch", "n_shingles", "pivot", "pivot_sketch", "pivot_size")
+    return columns.mapInArrow(run, "member long, hub long")
 
 
 def _near_listed(rows: DataFrame, least: int, percent: int) -> DataFrame:
@@ -169,9 +192,9 @@ def _near_listed(rows: DataFrame, least: int, percent: int) -> DataFrame:
             ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
             for i in range(len(lists)):
                 at = slice(ends[i], ends[i + 1])
-                fits = (others[at] == sketches[i]).sum(axis=1) >= least
                 small, large = np.minimum(size[at], own[1][i]), np.maximum(size[at], own[1][i])
-                fits &= (color[at] != own[2][i]) & (100 * small >= percent * large)
+                fits = (color[at] != own[2][i]) & (100 * small >= percent * large)
+                fits &= _can_link(others[at], sketches[i], small + large, least, percent)
                 if own[3][i]:
                     fits &= cls[at] < own[0][i]
                 found = cls[at][fits]
@@ -183,34 +206,59 @@ def _near_listed(rows: DataFrame, least: int, percent: int) -> DataFrame:
     return columns.mapInArrow(run, "member long, hub long")
 
 
-def _agreement(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, agreeing coordinates with all rows) of blocks of rows."""
-    for at in range(0, len(sketch), BLOCK):
-        yield at, (sketch[at : at + BLOCK, None, :] == sketch[None, :, :]).sum(axis=2)
+def _forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray, color: np.ndarray) -> np.ndarray:
+    """The edges a - b of a spanning forest of least costs between the colours, by Boruvka's rounds."""
+    part = np.unique(color, return_inverse=True)[1]
+    order = np.lexsort((b, a, cost))  # ties in one order, so that no round closes a circle
+    a, b = a[order], b[order]
+    chosen = np.zeros(len(a), bool)
+    left = np.arange(len(a))
+    while True:
+        left = left[part[a[left]] != part[b[left]]]
+        if not len(left):
+            return order[chosen]
+        ends = np.concatenate([part[a[left]], part[b[left]]])
+        edge = np.concatenate([left, left])
+        first = np.full(part.max() + 1, len(a))
+        np.minimum.at(first, ends, edge)
+        first = np.unique(first[first < len(a)])
+        chosen[first] = True
+        x, y = part[a[first]], part[b[first]]
+        up = np.arange(part.max() + 1)
+        while len(x):
+            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+            while not (up[up] == up).all():
+                up = up[up]
+            x, y = up[x], up[y]
+            x, y = x[x != y], y[x != y]
+        part = up[part]
 
 
 def _pairs(cls: np.ndarray, size: np.ndarray, color: np.ndarray, sketch: np.ndarray, least: int, percent: int, first: bool):
     """(member, hub) of rows of one node, sorted by class, that differ in colour and may be linked; hub is the smaller one.
 
-    With `first` only those with the first row, and the closest partner of each row.
+    With `first` only a spanning forest of the closest.
     """
-    members, hubs = [], []
-    for at, agree in _agreement(sketch):
+    pairs = []
+    coordinates = sketch[:, :COORDINATES]
+    for at in range(0, len(cls), BLOCK):
         rows = slice(at, at + BLOCK)
         small, large = np.minimum.outer(size[rows], size), np.maximum.outer(size[rows], size)
-        fits = (agree >= least) & (color[rows, None] != color) & (100 * small >= percent * large)
-        if first:
-            best = np.argmax(np.where(fits, agree, -1), axis=1)
-            pick = np.zeros_like(fits)
-            pick[np.arange(len(best)), best] = True
-            pick[:, 0] = True
-            fits &= pick
-        else:
-            fits &= np.arange(len(cls)) < np.arange(at, at + len(fits))[:, None]
+        fits = (color[rows, None] != color) & (100 * small >= percent * large)
+        fits &= np.arange(len(cls)) < np.arange(at, at + len(fits))[:, None]
+        if not fits.any():
+            continue
+        fits &= (coordinates[rows, None, :] == coordinates[None, :, :]).sum(axis=2) >= least
         i, j = np.nonzero(fits)
-        members.append(cls[np.maximum(i + at, j)])
-        hubs.append(cls[np.minimum(i + at, j)])
-    return np.concatenate(members), np.concatenate(hubs)
+        i += at
+        differ = _differing(sketch[i], sketch[j])
+        near = (100 + percent) * differ <= (100 - percent) * (size[i] + size[j])
+        pairs.append((i[near], j[near], differ[near] / (size[i] + size[j])[near]))
+    i, j, cost = (np.concatenate(v) for v in zip(*pairs, strict=True)) if pairs else [np.empty(0, np.int64)] * 3
+    if first and len(i):
+        chosen = _forest(i, j, cost, color)
+        i, j = i[chosen], j[chosen]
+    return cls[i], cls[j]
 
 
 def _pairs_of_nodes(members: DataFrame, least: int, percent: int, first: bool) -> DataFrame:
@@ -227,7 +275,7 @@ def _pairs_of_nodes(members: DataFrame, least: int, percent: int, first: bool) -
             found = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["member", "hub"])
 
-        waiting = [np.empty(0, np.int64) for _ in range(4)], np.empty((0, COORDINATES), np.uint8)
+        waiting = [np.empty(0, np.int64) for _ in range(4)], np.empty((0, COORDINATES + FLIPS // 8), np.uint8)
         for batch in batches:
             columns = [np.concatenate([w, batch.column(k).to_numpy()]) for k, w in enumerate(waiting[0])]
             sketch = np.concatenate([waiting[1], _matrix(batch.column(4))])
@@ -375,7 +423,7 @@ def linked(classes: DataFrame, docs: DataFrame, data: str, row: Sequence[str], s
         members = join_counted(level, nodes, ["node"], "n", n_rows).select("node", "cls").join(slim, "cls")
         members = materialize(_colored(members, known), "members")
 
-        # A star of every node, and in nodes that fit a task the closest pairs.
+        # A star of every crowded node, and a forest of the closest pairs of those that fit a task.
         nodes = members.groupBy("node").agg(
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("p"),
             F.min("color").alias("low"), F.max("color").alias("high"),
@@ -386,7 +434,7 @@ def linked(classes: DataFrame, docs: DataFrame, data: str, row: Sequence[str], s
         within = members.join(small.select("node"), "node", "left_semi")
         met = join_counted(members, crowded, ["node"], "n", n_rows)
         met = met.filter((F.col("cls") != F.col("pivot")) & _sizes_fit(F.col("n_shingles"), F.col("pivot_size"), percent))
-        tested = _pairs_of_nodes(within, least, percent, True).unionByName(_near_pivot(met, least)).distinct()
+        tested = _pairs_of_nodes(within, least, percent, True).unionByName(_near_pivot(met, least, percent)).distinct()
         tested = materialize(tested, "tested")
         known = _joined(known, materialize(confirmed(tested, classes, docs, data, row, shingle, percent), "links"))
 
