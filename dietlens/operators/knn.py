@@ -17,9 +17,11 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from dietlens.functions.vectors import similarity_from_distance
 from dietlens.operators.keys import check_ids
-from dietlens.session import BROADCAST_BYTES, materialize, new_path, small_or_none
+from dietlens.session import BROADCAST_BYTES, small_or_none
 
 BLOCK_ROWS = 8192
+# Corpus vectors that one task holds, in single precision.
+SLICE_BYTES = 32 << 20
 # Scan tasks per core: each returns k rows for every broadcast query.
 SCANS_PER_CORE = 4
 _PLACES = 12
@@ -177,25 +179,49 @@ def _ranked(found: DataFrame, query_id: str, row_id: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocked_top(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int, block_rows: int, out: StructType) -> DataFrame:
-    """Block after block of queries is broadcast, and each streams the corpus past it, which is never shuffled.
+def _sliced_top(queries: DataFrame, corpus: DataFrame, width: int, k: int, slice_bytes: int, out: StructType) -> DataFrame:
+    """One scan of both sides for any number of queries.
 
-    Blocks are hashed from the unique ids, so they are even however the data is skewed. Each block's result is written, so that a
-    lost executor or a later block never repeats an earlier one.
+    The corpus is dealt by hash into slices of about `slice_bytes`; all queries are sent to every slice, behind its rows. A task
+    holds one slice and streams the queries past it, so each query leaves it with k rows.
     """
-    spark, (query_id, row_id) = queries.sparkSession, out.names[:2]
-    path = new_path(spark, "query-blocks")
-    n_blocks = max(1, -(-n_queries // block_rows))
-    block = F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_blocks)).cast("int")
-    queries.withColumn("_block", block).write.partitionBy("_block").parquet(path)
-    stored = spark.read.schema(queries.schema.add("_block", IntegerType())).parquet(path)
-    found = None
-    for number in range(n_blocks):
-        head = stored.filter(F.col("_block") == number).drop("_block").toArrow()
-        if head.num_rows:
-            best = materialize(_ranked(_broadcast_top(head, corpus, k, out), query_id, row_id, k), "block")
-            found = best if found is None else found.unionByName(best)
-    return found
+    query_id, row_id, _ = out.names
+    n_rows = corpus.count()
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, min(cores, -(-n_rows // BLOCK_ROWS)), -(-n_rows * 4 * width // slice_bytes))
+    empty = {c: F.lit(None).cast(out[c].dataType).alias(c) for c in (query_id, row_id)}
+    rows = corpus.select(
+        F.pmod(F.xxhash64(row_id), F.lit(slices)).cast("int").alias("_slice"), F.lit(False).alias("_asks"), empty[query_id], row_id, F.col("_c").alias("_v")
+    )
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), F.lit(True).alias("_asks"), query_id, empty[row_id], F.col("_q").alias("_v")
+    )
+    query_type, row_type = (to_arrow_type(out[c].dataType) for c in (query_id, row_id))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, vectors = None, [], []
+        for batch in batches:
+            place, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (asks[1:] != asks[:-1]), True]) if len(place) else [0]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if place[start] != own:
+                    own, ids, vectors = place[start], [], []
+                part = batch.slice(start, end - start)
+                found = _unit_rows(part.column(4))
+                if not asks[start]:
+                    ids.append(_ids(part.column(3)))
+                    vectors.append(found)
+                    continue
+                if len(ids) > 1:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                if ids:
+                    qrow, rows, dist = _keep_best(*_block_top(found, ids[0], vectors[0], k), k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(_ids(part.column(2))[qrow], query_type), pa.array(rows, row_type), pa.array(dist)], names=out.names
+                    )
+
+    dealt = rows.unionByName(asked).repartition(slices, "_slice").sortWithinPartitions("_slice", "_asks")
+    return dealt.mapInArrow(meet, out)
 
 
 def nearest(
@@ -207,14 +233,14 @@ def nearest(
     row_id: str = "row_id",
     row_vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """(query_id, rank, row_id, distance, similarity): the k nearest corpus rows of every query.
 
     Exact brute force; fewer than k rows come back if the corpus is smaller. Both ids must be unique
     and sortable. Whichever side is within `broadcast_bytes` is broadcast, the queries if both are, and
-    the other side is not shuffled; if neither is, the queries go in blocks of at most `block_rows`.
-    No vector is shuffled in any case.
+    the other side is not shuffled; if neither is, the corpus is shuffled once into slices of about
+    `slice_bytes`, and the queries are sent to all of them. Both sides are scanned once in any case.
     """
     queries = queries.select(F.col(query_id), F.col(query_vector).cast("array<float>").alias("_q"))
     corpus = corpus.select(F.col(row_id), F.col(row_vector).cast("array<float>").alias("_c"))
@@ -233,8 +259,7 @@ def nearest(
         rows = corpus.limit(most + 1).toArrow()
         if 0 < rows.num_rows <= most:
             return _streamed_top(queries, rows, k, out).select(*columns)
-        size = max(1, min(block_rows, BROADCAST_BYTES // (16 * max(1, width))))  # hashed blocks vary a little
-        return _blocked_top(queries, corpus, queries.count(), k, size, out).select(*columns)
+        best = _sliced_top(queries, corpus, width, k, slice_bytes, out)
     return _ranked(best, query_id, row_id, k).select(*columns)
 
 

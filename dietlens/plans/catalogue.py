@@ -267,9 +267,9 @@ def knn_exact(spark, sf_dir):
 
 
 def knn_blocked(spark, sf_dir):
-    """The same neighbours by the block-by-block form for query sets too large to broadcast."""
+    """The same neighbours by the form for queries and corpus too large to broadcast: slices that all queries meet."""
     vectors = _vectors(spark, sf_dir)
-    found = knn.nearest(vectors.withColumnRenamed("row_id", "query_id"), vectors, 10, broadcast_bytes=1 << 14, block_rows=512)
+    found = knn.nearest(vectors.withColumnRenamed("row_id", "query_id"), vectors, 10, broadcast_bytes=1 << 14, slice_bytes=1 << 15)
     return _ranked(found)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dietlens.functions import vectors as V
 from dietlens.operators import knn
+from dietlens.session import materialize
 
 
 def brute(qs, rows, k):
@@ -39,7 +40,7 @@ def test_against_brute_force_with_a_third_of_copies(spark, blocked):
     rows += [(300, np.zeros(8)), (301, -np.array(rows[3][1]))]
     qs = [(i, rows[i][1]) for i in range(40)] + [(99, np.zeros(8))]
     corpus, queries = tables(spark, rows, qs)
-    options = {"broadcast_bytes": 8, "block_rows": 50} if blocked else {}
+    options = {"broadcast_bytes": 8, "slice_bytes": 1600} if blocked else {}
     assert found(knn.nearest(queries, corpus, 10, **options)) == brute(qs, rows, 10)
 
 
@@ -70,7 +71,7 @@ def test_many_batches_in_one_partition(spark):
 def test_k_above_the_corpus(spark, blocked):
     rows = [(0, [1, 0]), (1, [0, 1]), (2, [-1, 0])]
     corpus, queries = tables(spark, rows, [(5, [1, 0]), (6, [0, 2])], 2)
-    options = {"broadcast_bytes": 8, "block_rows": 2} if blocked else {}
+    options = {"broadcast_bytes": 8, "slice_bytes": 32} if blocked else {}
     got = {(r.query_id, r["rank"]): (r.row_id, r.distance, r.similarity) for r in knn.nearest(queries, corpus, 9, **options).collect()}
     assert got == {
         (5, 1): (0, 0.0, 1.0), (5, 2): (1, 1.0, 0.0), (5, 3): (2, 2.0, 0.0),
@@ -81,7 +82,7 @@ def test_k_above_the_corpus(spark, blocked):
 def test_string_ids_and_ties_in_sort_order(spark):
     corpus = spark.createDataFrame([("tea", [1.0, 0.0]), ("milk", [1.0, 0.0]), ("figs", [0.0, 1.0])], "f STRING, embedding ARRAY<FLOAT>")
     queries = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "q STRING, embedding ARRAY<FLOAT>")
-    for options in ({}, {"broadcast_bytes": 8, "block_rows": 1}):
+    for options in ({}, {"broadcast_bytes": 8, "slice_bytes": 8}):
         got = {(r.q, r.f) for r in knn.nearest(queries, corpus, 1, query_id="q", row_id="f", **options).collect()}
         assert got == {("x", "milk"), ("y", "figs")}
 
@@ -129,13 +130,28 @@ def test_vector_functions(spark):
 def test_plans_have_no_cross_join(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), "embedding")
     queries = emb.withColumnRenamed("row_id", "query_id")
-    for options in ({}, {"broadcast_bytes": 8, "block_rows": 100}):
+    for options in ({}, {"broadcast_bytes": 8, "slice_bytes": 1 << 14}):
         plan = knn.nearest(queries, emb, 3, **options)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         if not options:
             assert "WindowGroupLimit" in plan
 
 
+def test_scans_do_not_grow_with_the_queries(spark):
+    """However many queries there are, the plan reads either side once."""
+    rng = np.random.default_rng(1)
+    corpus = materialize(tables(spark, [(i, rng.normal(size=4)) for i in range(300)], [(0, [1.0] * 4)])[0])
+    for n in (20, 900):
+        qs = [(i, rng.normal(size=4)) for i in range(n)]
+        queries = materialize(tables(spark, [(0, [1.0] * 4)], qs)[1])
+        out = knn._id_fields(queries, corpus, "query_id", "row_id")
+        sliced = knn._sliced_top(
+            queries.select("query_id", F.col("embedding").alias("_q")), corpus.select("row_id", F.col("embedding").alias("_c")), 4, 3, 1024, out
+        )
+        assert sliced._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
+        assert sliced.count() == n * 3 * (-(-300 * 16 // 1024))
+
+
 def test_partial_rows_do_not_grow_with_the_corpus_partitions(spark, monkeypatch):
     monkeypatch.setattr(knn, "SCANS_PER_CORE", 1)
     corpus = spark.range(4000, numPartitions=400).select(F.col("id").alias("row_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
