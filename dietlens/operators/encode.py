@@ -16,7 +16,8 @@ EMBEDDING_SIZE = 768
 BATCH_SIZE = 64
 _INPUT = "_document"
 
-# An encoder adds a unit-length `array<float>` column: encoder(df, text column, output column).
+# An encoder adds a unit-length `array<float>` column: encoder(df, text column, output column). One whose vectors have few values other
+# than zero, none of them negative, says so by an attribute `sparse_width`, the length of the vectors.
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -39,6 +40,7 @@ def tfidf_encoder(model: PipelineModel) -> Encoder:
         kept = [c for c in df.columns if c != output]
         return encoded.select(*kept, vector_to_array("_unit", "float32").alias(output))
 
+    encode.sparse_width = model.stages[1].getNumFeatures()
     return encode
 
 

@@ -18,6 +18,7 @@ from dietlens.operators.knn import attach_rows, nearest, neighbor_lists
 from dietlens.operators.models import classify
 from dietlens.operators.reasoning import add_reasoning, add_safety_notes, explanation
 from dietlens.operators.relevance import REJECTION_NOTE, check_relevance, drug_vocabulary
+from dietlens.operators.sparse import nearest_sparse, sparse
 from dietlens.operators.vote import neighbor_vote, severity_info
 from dietlens.session import lookup_join, materialize
 
@@ -34,14 +35,13 @@ class Corpus:
     classifier: PipelineModel
     drugs: DataFrame  # drug_key
     injectables: DataFrame  # drug_key
-    foods: DataFrame  # food_name, embedding
+    foods: DataFrame  # food_name and terms or embedding, see `known_foods`
 
 
 def build_corpus(rows: DataFrame, vectors: DataFrame, encoder: Encoder, classifier: PipelineModel, **rules) -> Corpus:
     """Derives the vocabularies; `rules` go to `injectable_drugs`."""
     if "cluster_kmeans" not in rows.columns:
         rows = rows.withColumn("cluster_kmeans", F.lit(None).cast("int"))
-    foods = encoder(vocabulary(rows, "food", "food_name"), "food_name", "embedding")
     return Corpus(
         rows=rows,
         vectors=vectors,
@@ -49,10 +49,20 @@ def build_corpus(rows: DataFrame, vectors: DataFrame, encoder: Encoder, classifi
         classifier=classifier,
         drugs=materialize(drug_vocabulary(rows), "drugs"),
         injectables=materialize(injectable_drugs(rows, **rules), "injectables"),
-        foods=materialize(foods, "foods"),
+        foods=materialize(known_foods(rows, encoder), "foods"),
     )
 
 
+def _sparse(encoded: DataFrame, name: str) -> DataFrame:
+    return encoded.select(name, sparse("embedding").alias("terms"))
+
+
+def known_foods(rows: DataFrame, encoder: Encoder) -> DataFrame:
+    """(food_name, terms) of the distinct foods for an encoder of sparse vectors, (food_name, embedding) for any other."""
+    encoded = encoder(vocabulary(rows, "food", "food_name"), "food_name", "embedding")
+    return _sparse(encoded, "food_name") if hasattr(encoder, "sparse_width") else encoded
+
+
 def resolve_foods(
     queries: DataFrame,
     foods: DataFrame,
@@ -63,11 +73,17 @@ def resolve_foods(
     """Adds `resolved_food` and `food_similarity_score`.
 
     The known food of highest cosine similarity, the first in sort order among equals, replaces the
-    typed one if it reaches the threshold. Each distinct typed food is looked up once.
+    typed one if it reaches the threshold. Each distinct typed food is looked up once, by the inverted index
+    if `foods` holds sparse vectors (`terms`), see `known_foods`.
     """
     typed = queries.filter(is_not_blank("food")).select("food").distinct()
-    encoded = materialize(encoder(typed.withColumn("_food_text", strip("food")), "_food_text", "embedding"), "typed-foods")
-    found = materialize(nearest(encoded, foods, 1, query_id="food", row_id="food_name"), "foods")
+    typed = typed.withColumn("_food_text", strip("food"))
+    if "terms" in foods.columns:
+        encoded = materialize(_sparse(encoder(typed, "_food_text", "embedding"), "food"), "typed-foods")
+        found = materialize(nearest_sparse(encoded, foods, encoder.sparse_width, "food", "food_name"), "foods")
+    else:
+        encoded = materialize(encoder(typed, "_food_text", "embedding"), "typed-foods")
+        found = materialize(nearest(encoded, foods, 1, query_id="food", row_id="food_name"), "foods")
     best = found.select("food", "food_name", (F.lit(1.0) - F.col("distance")).alias("_similarity"))
     joined = lookup_join(queries, best, "food", [query_id])
     resolved = (
