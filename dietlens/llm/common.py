@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(label: str) -> str:
     """A column name that no input has."""
     return f"_{label}_{uuid.uuid4().hex[:8]}"

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dietlens.llm.common import BLANKS, fresh, identified, join_counted, null_last
+from dietlens.llm.common import BLANKS, fresh, identified, join_counted, null_last, quoted
 from dietlens.session import materialize
 
 WINDOW = 32
@@ -160,7 +160,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
     Texts are equal when they are so without BLANKS. The row with the most code points in the whole text stays, then the one
     with the smallest id (null behind all others), then the first of repeated rows, of which only one stays. Null counts as
-    empty; all empty texts are one group. An empty table gives an empty table. Other columns are not read.
+    empty; all empty texts are one group. An empty table gives an empty table. Texts of any length are cut whole. Other columns are
+    not read, whatever their names; `keep` must not name what is returned.
 
     Groups with many rows are joined by a broadcast of their keys, at most 1,000 of at most BROADCAST_CHUNKS identifiers each.
     `hash_bits` below 64 makes different chunks share hashes; results stay the same.
@@ -187,4 +188,4 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of `docs` that stay, with all their columns; see `dedupe`."""
     whole, row = identified(docs)
     stay = dedupe(whole, id_col, text_col, row).filter("kept").select(*row)
-    return whole.join(stay, row, "left_semi").select(*docs.columns)
+    return whole.join(stay, row, "left_semi").select(*[quoted(c) for c in docs.columns])

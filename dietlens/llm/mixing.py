@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dietlens.llm.common import count_words, hot_limit, identified, join_counted
+from dietlens.llm.common import count_words, hot_limit, identified, join_counted, quoted
 from dietlens.operators.keys import add_row_id
 from dietlens.session import BROADCAST_ROWS, materialize
 
@@ -179,4 +179,4 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole, row = identified(docs)
     taken = mix(whole, id_col, text_col, source_col, row, **settings).filter("copies > 0").select(*row, "copies")
     again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return whole.join(taken.select(*row, again.alias("copy")), row).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return whole.join(taken.select(*row, again.alias("copy")), row).select(*[quoted(c) for c in docs.columns])

@@ -286,7 +286,7 @@ def find(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     both = let(text, lambda t: let(base_spans(t), lambda base: F.struct(base.alias("base"), candidates(t, base).alias("candidates"))))
     found = docs.select(F.struct(*carried).alias("own"), both.alias("found")).select("own", "found.*")
-    path = new_path(docs.sparkSession, "candidates")
+    path = new_path(docs.sparkSession, "personal")
     try:
         found.write.parquet(path)
         found = docs.sparkSession.read.schema(found.schema).parquet(path)

@@ -23,6 +23,8 @@ from dietlens.session import materialize, new_path
 
 # Most unseen texts whose ids are broadcast.
 DELTA = 1_000
+# Findings of a text with very many paths, up to which they are broadcast.
+BROADCAST_FOUND = 1_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,8 @@ def scan(
 
     `ledger` is a folder in shared storage, a fresh one by default; each run adds a folder to it. rank is the rule's place in
     `rules`. A null text is an empty one. Repeated rows and null paths get their findings like others. An empty table gives
-    an empty table. Other columns are not read.
+    an empty table. Texts of any length are scanned whole. Other columns are not read, whatever their names; `keep` must not name
+    blob or found.
     """
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "ledger")
@@ -106,7 +109,8 @@ def scan(
     if known is None:
         unseen = blobs.withColumn("wanted", versions)
     else:
-        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"))
+        seen = known.join(blobs.select("blob"), "blob", "left_semi")
+        seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"))
         left = F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>")))
         unseen = blobs.join(seen, "blob", "left").withColumn("wanted", left).filter(F.size("wanted") > 0)
     unseen = materialize(unseen.select("blob", "wanted", *[F.col("first")[c].alias(c) for c in row]), "unseen")
@@ -126,10 +130,23 @@ def scan(
         F.filter(F.col("found"), lambda s: s["version"] == r["version"]),
         lambda s: F.struct(r["kind"].alias("kind"), r["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")),
     )))
-    known = known.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found")).select("blob", findings.alias("found"))
-    known = materialize(blobs.select("blob", "n_paths").join(known, "blob"), "findings")
-    out = join_counted(paths, known, ["blob"], "n_paths", paths.count())
+    # The ledger only grows: the texts at hand are picked first. Scans side by side may have judged a text twice; it counts once.
+    present = known.join(blobs.select("blob", "n_paths"), "blob")
+    runs = present.groupBy("blob").agg(F.first("n_paths").alias("n_paths"), F.collect_list(F.struct("versions", "found")).alias("runs"))
+    known = materialize(runs.withColumn("found", _once(F.col("runs"))).select("blob", "n_paths", findings.alias("found")), "findings")
+    out = join_counted(paths, known, ["blob"], "n_paths", paths.count(), F.size("found") <= BROADCAST_FOUND)
     return out.select(path_col, *keep, "blob", "found"), n_scanned
 
 
+def _once(runs: Column) -> Column:
+    """The findings of runs (versions, found), of each version those of the first run that has it."""
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(FOUND).alias("found"))
+
+    def add(total: Column, run: Column) -> Column:
+        new = F.filter(run["found"], lambda s: ~F.array_contains(total["seen"], s["version"]))
+        return F.struct(F.array_union(total["seen"], run["versions"]).alias("seen"), F.concat(total["found"], new).alias("found"))
+
+    return F.when(F.size(runs) == 1, F.element_at(runs, 1)["found"]).otherwise(F.aggregate(runs, start, add, lambda total: total["found"]))
+
+
 _RANKED = "array<struct<kind:string,rank:int,start:bigint,end:bigint>>"

@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dietlens.llm.common import fresh, identified, join_counted, null_last
+from dietlens.llm.common import fresh, identified, join_counted, null_last, quoted
 from dietlens.llm.components import components
 from dietlens.session import BROADCAST_ROWS, materialize
 
 SHINGLE, RADIUS = 4, 4
 SEED = 42
-#: Blocks of the fingerprint. BLOCKS - radius of them make a key: 15 tables with keys of 21 bits.
-BLOCKS = 6
+#: Blocks of the fingerprint. BLOCKS - radius of them make a key: 15 tables with keys of 21 bits. From MANY fingerprints on
+#: these keys would be crowded by chance; then there are MANY_BLOCKS: 70 tables with keys of 32 bits.
+BLOCKS, MANY_BLOCKS, MANY = 6, 8, 1 << 30
 #: Most fingerprints of one group; larger ones meet in parts of half as many.
 GROUP = 2048
 LANES = 1 << 18
@@ -231,20 +232,22 @@ def near_duplicates(
     keep: Sequence[str] = (),
     shingle: int = SHINGLE,
     radius: int = RADIUS,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
     group: int = GROUP,
 ) -> DataFrame:
     """Per row: `id_col`, the `keep` columns, fingerprint (long), component_id, kept.
 
     component_id is the smallest id (null behind all others) that links of at most `radius` differing bits reach; kept marks the row
     that has it, the first one of repeated rows. A null, empty or blank text has fingerprint zero, linked like any other.
-    An empty table gives an empty table. Other columns are not read.
+    An empty table gives an empty table. Texts of any length are hashed whole. Other columns are not read, whatever their names; `keep`
+    must not name what is returned.
     """
     docs, row = identified(docs)
     carried = list(dict.fromkeys([id_col, *keep, *row]))
     hashed = materialize(fingerprints(docs, text_col, carried, shingle), "fingerprints")
     first = F.struct(null_last(F.col(id_col)).alias("id"), *row)
     prints = materialize(hashed.groupBy("fingerprint").agg(F.count("*").alias("n_rows"), F.min(first).alias("first")), "prints")
+    blocks = blocks or (BLOCKS if prints.count() < MANY else MANY_BLOCKS)
     found = components(materialize(links(prints, radius, blocks, group), "links"), "a", "b")
     rooted = prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     rooted = materialize(rooted.withColumn("root", F.coalesce("root", "fingerprint")), "rooted")
@@ -262,4 +265,4 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """One row of each component, with all its columns; see `near_duplicates`."""
     whole, row = identified(docs)
     stay = near_duplicates(whole, id_col, text_col, row, **settings).filter("kept").select(*row)
-    return whole.join(stay, row, "left_semi").select(*docs.columns)
+    return whole.join(stay, row, "left_semi").select(*[quoted(c) for c in docs.columns])

@@ -43,6 +43,8 @@ SEEDS = frozenset(
 )
 #: Longest piece of a name that is no counted word, and the letters by which longer words are looked up.
 LONGEST = 24
+# Words of a piece that is met by very many names, up to which they are broadcast.
+BROADCAST_WORDS = 1_000
 _PIECES = 1 << 16
 
 
@@ -104,7 +106,8 @@ class Segmenter:
 
     def _cost(self, word: str) -> float:
         """Of words that are not counted, the longer the less likely."""
-        return self.cost.get(word) or math.log(self.total) + (len(word) + 1) * math.log(10)
+        known = self.cost.get(word)
+        return math.log(self.total) + (len(word) + 1) * math.log(10) if known is None else known
 
     def cut(self, name: str) -> tuple[str, ...]:
         """Ties go to the longer last word. Names and counted words are any length; unknown words are at most LONGEST."""
@@ -177,7 +180,7 @@ def cut_names(names: DataFrame, counted: DataFrame, seeds: Sequence[str]) -> Dat
     keys = pieces.groupBy("piece").agg(F.count("*").alias("met"))
     met = counted.withColumn("piece", F.substring("word", 1, LONGEST)).join(keys, "piece")
     lookup = materialize(met.groupBy("piece").agg(F.first("met").alias("met"), F.collect_list(F.struct("word", "n")).alias("words")), "met-words")
-    found = join_counted(pieces, lookup, ["piece"], "met", pieces.count())
+    found = join_counted(pieces, lookup, ["piece"], "met", pieces.count(), F.size("words") <= BROADCAST_WORDS)
     found = found.groupBy(*row).agg(F.flatten(F.collect_list("words")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

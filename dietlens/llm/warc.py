@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dietlens.llm.common import identified, join_counted, null_last
-from dietlens.session import BROADCAST_ROWS, materialize, new_path
+from dietlens.session import materialize, new_path
 
 REVISIT_LEAST = 100
 ARCHIVE_BYTES = 256 << 20
@@ -33,6 +33,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = 31  # zlib's window bits for a gzip member
 _LEVEL = 3
 _READ_AHEAD = 1 << 20
+#: Captures of an index part, until there are MOST_PARTS of them; bytes of records that a task reads.
+PART_LINES, MOST_PARTS = 1_000_000, 50_000
+READ_BYTES = 64 << 20
 
 
 def url_key(url: Column) -> Column:
@@ -120,6 +123,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialize(written, "captures")
 
 
+def _parts(total: int, each: int, df: DataFrame) -> int:
+    """Partitions of about `each` out of `total`, but for small totals as many as there are cores."""
+    return max(-(-total // each), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Writes the captures, sorted by (key, at, place), as index parts; the manifest, one row per part, as a written table."""
 
@@ -151,7 +159,8 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_pylist([{"first": json.dumps(directory[0][0]), "part": name, "start": start, "length": len(data)}])
 
     order = ["key", "at", "place"]
-    dealt = captures.repartitionByRange(*order).sortWithinPartitions(*order)
+    n_parts = _parts(captures.count(), PART_LINES, captures)
+    dealt = captures.repartitionByRange(min(n_parts, MOST_PARTS), *order).sortWithinPartitions(*order)
     return materialize(dealt.mapInArrow(write, "first string, part string, start long, length long"), "manifest")
 
 
@@ -194,11 +203,9 @@ class Index:
 def look_up(wanted: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
     """(archive, start, length) of each wanted (key, at, place) that the index has.
 
-    The manifest has a row per index part, as many as the cluster's shuffle partitions; it is sent to the tasks.
+    The manifest has a row per index part, at most MOST_PARTS; it is sent to the tasks.
     """
-    rows = manifest.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} index parts: write the index with fewer partitions")
+    rows = manifest.collect()
     parts = [(json.loads(r["first"]), r["part"], r["start"], r["length"]) for r in rows]
     shared = wanted.sparkSession.sparkContext.broadcast(parts)
 
@@ -213,7 +220,7 @@ def look_up(wanted: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
             )
 
     order = ["key", "at", "place"]
-    dealt = wanted.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = wanted.select(*order).repartitionByRange(_parts(wanted.count(), PART_LINES, wanted), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(find, "archive string, start long, length long")
 
 
@@ -246,7 +253,10 @@ def read_records(ranges: DataFrame, folder: str) -> DataFrame:
                 ("record", pa.string()), ("page", pa.int64()), ("type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64()),
             ]))
 
-    dealt = ranges.repartitionByRange("archive", "start").sortWithinPartitions("archive", "start")
+    # Slim rows stand for whole records: the number of tasks comes from the bytes that they will read.
+    ranges = materialize(ranges, "ranges")
+    total = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = ranges.repartitionByRange(_parts(total, READ_BYTES, ranges), "archive", "start").sortWithinPartitions("archive", "start")
     return dealt.mapInArrow(read, "record string, page long, type string, refers string, digest string, n_bytes long")
 
 
@@ -256,7 +266,8 @@ def archive(
     """Writes a record per row below `folder`; returns the written tables of captures and of the index manifest.
 
     Of equal payloads of at least `least` bytes the one with the smallest id (null last; of repeated rows the first) is a
-    response and the others revisit it. A null page has an empty payload, a null URL an empty key. Ids must be integers.
+    response and the others revisit it. A null page has an empty payload, a null URL an empty key. Ids must be integers. Pages of any
+    length are one record each. Other columns are not read, whatever their names.
     """
     whole, (at, place) = identified(pages)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")

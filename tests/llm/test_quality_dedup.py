@@ -5,7 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from dietlens.llm import dedup, quality
+from dietlens.llm import dedup, mixing, quality, simhash
 from dietlens.llm.common import identified
 
 
@@ -98,3 +98,11 @@ def test_hot_group(spark, monkeypatch):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
     got = dedup.dedupe(rows)
     assert got.filter("kept").count() == 2001 and got.filter("keep_id = 0 AND group_size = 1000").count() == 1000
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b", "x", "y"), (2, "ab", "x", "y"), (3, "c d e f", "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, `q``q` string")
+    for kept in (dedup.kept_rows(docs), simhash.kept_rows(docs), quality.kept_rows(docs, min_words=0), mixing.mixed_rows(docs.withColumn("source", F.lit("s")))):
+        assert kept.columns[:4] == ["doc_id", "text", "a.b", "q`q"]
+        assert kept.count() <= 3

@@ -73,6 +73,16 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert secrets.scan(first.filter("false"))[0].count() == 0
 
 
+def test_scans_side_by_side_count_once(spark):
+    ledger = new_path(spark, "ledger")
+    texts = table_of(spark, ["token=secret1secret " * 3, "nothing", "password=abcdefghi"])
+    secrets.scan(texts, ledger)
+    runs = secrets.read_ledger(texts, ledger)
+    runs.write.parquet(os.path.join(ledger, "run=copy"))  # as a scan that ran at the same time would leave it
+    again, n = secrets.scan(texts, ledger, secrets.BASE + secrets.MORE + (secrets.Rule("more", "nothing"),))
+    assert n == 4 and {r.doc_id: len(r.found) for r in again.collect()} == {None: 0, 0: 3, 1: 1, 2: 1}
+
+
 def test_scans_are_native(odd_docs, no_docs):
     for df in (secrets.scan(odd_docs)[0], pii.find(odd_docs)[0]):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -138,9 +148,8 @@ def test_recall_over_all_kinds(spark):
 
 
 def test_nothing_found_is_left_in_the_shared_folder(spark):
-    folder = shared_dir(spark)
     pii.find(table_of(spark, ["secret person a@b.co"]))[0].collect()
-    assert not [n for n in os.listdir(folder.removeprefix("file:")) if n.startswith("candidates")]
+    assert not [n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith("personal")]
 
 
 def test_estimated_reliabilities():
