@@ -33,6 +33,61 @@ def test_density_clusters_follow_a_long_winding_band(spark):
     assert sizes == {0: 301, 1: 60}
 
 
+def plain_density(points, eps, min_points, min_size):
+    """Labels by all distances; a float label per point."""
+    xy = np.array(points, dtype=float)
+    d = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2)
+    near = d <= eps * eps
+    core = near.sum(axis=1) >= min_points
+    parent = list(range(len(xy)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, j in zip(*np.nonzero(near & core[:, None] & core[None, :])):
+        parent[find(i)] = find(j)
+    owner = [None] * len(xy)
+    for i in range(len(xy)):
+        if core[i]:
+            owner[i] = find(i)
+        else:
+            to = [j for j in np.flatnonzero(near[i]) if core[j]]
+            if to:
+                owner[i] = find(min(to, key=lambda j: (d[i, j], *xy[j])))
+    sizes = Counter(o for o in owner if o is not None)
+    first = {}
+    for i in np.flatnonzero(core):
+        first[find(i)] = min(first.get(find(i), (np.inf,)), tuple(xy[i]))
+    order = {r: k for k, r in enumerate(sorted((r for r in sizes if sizes[r] >= min_size), key=first.get))}
+    return [order.get(o, -1) for o in owner]
+
+
+@pytest.mark.parametrize(("seed", "eps", "min_points"), [(1, 0.3, 4), (2, 0.11, 3), (3, 0.6, 12)])
+def test_density_equals_plain_distances(spark, seed, eps, min_points):
+    rng = np.random.default_rng(seed)
+    points = [*rng.uniform(0, 4, (250, 2)).tolist(), *rng.normal((2, 2), 0.15, (120, 2)).tolist(), *rng.normal((9, 2), 0.02, (60, 2)).tolist()]
+    points += [points[300]] * 5 + [[k * eps * 0.5 + 20, 1.0] for k in range(30)] + [[k * eps * 0.5 + 20, 1.0 + eps] for k in range(12)]
+    for shift in (0.0, 0.377 * eps):
+        moved = [(x + shift, y - shift) for x, y in points]
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(moved)], "i LONG, x DOUBLE, y DOUBLE").repartition(3)
+        got = {r.i: r.cluster_hdbscan for r in C.add_density_clusters(df, "x", "y", eps, min_points, 6).collect()}
+        assert [got[i] for i in range(len(points))] == plain_density(moved, eps, min_points, 6)
+        if shift:
+            assert got == before
+        before = got
+
+
+def test_density_without_a_place(spark):
+    rows = [(1, None, 1.0), (2, 1.0, None), (3, float("nan"), 1.0), *[(k, 1.0, 1.0) for k in range(4, 9)]]
+    df = spark.createDataFrame(rows, "i LONG, x DOUBLE, y DOUBLE")
+    got = {r.i: r.cluster_hdbscan for r in C.add_density_clusters(df, "x", "y", 0.5, 3, 3).collect()}
+    assert got == {1: -1, 2: -1, 3: -1, **{k: 0 for k in range(4, 9)}}
+    assert C.add_density_clusters(df.filter("false"), "x", "y", 0.5, 3, 3).isEmpty()
+
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = {(rng.randrange(300), rng.randrange(300)) for _ in range(200)}
