@@ -341,12 +341,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, data: str,
     Only the texts of classes in `pairs` are read; each is sent to the hubs it is compared with. A hub with many members is sent to
     several groups of at most about HUB_GROUP of them.
     """
-    total = pairs.count()
-    parts = F.ceil(F.col("n") / HUB_GROUP).cast("int").alias("parts")
-    hubs = materialize(pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", "n", parts), "hubs")
-    dealt = join_counted(pairs, hubs, ["hub"], "n", total).select(
-        F.col("member").alias("cls"), F.struct("hub", F.pmod(F.xxhash64("member"), "parts").cast("int").alias("part")).alias("ask")
-    )
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+    hubs = materialize(hubs.select("hub", "n", F.ceil(F.col("n") / HUB_GROUP).cast("int").alias("parts")), "hubs")
+    part = F.lit(0)
+    if hubs.agg(F.max("parts")).first()[0] not in (None, 1):
+        pairs = join_counted(pairs, hubs, ["hub"], "n", pairs.count())
+        part = F.pmod(F.xxhash64("member"), "parts").cast("int")
+    dealt = pairs.select(F.col("member").alias("cls"), F.struct("hub", part.alias("part")).alias("ask"))
     own = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asks = dealt.unionByName(own.select(F.col("hub").alias("cls"), F.struct("hub", "part").alias("ask")))
     # A class is asked for by its partners and, if it is a hub, by its groups: at most the rows divided by HUB_GROUP.
@@ -411,55 +412,63 @@ def linked(classes: DataFrame, docs: DataFrame, data: str, row: Sequence[str], s
     slim = classes.select("cls", "n_shingles", "sketch")
     roots = [F.xxhash64(F.lit(t), F.lit(SEED)) for t in range(trees(percent, recall))]
     first = [_node(root, F.lit(BRANCHES * t + k)) for t, root in enumerate(roots) for k in range(BRANCHES)]
-    level = classes.select("cls", F.explode(F.array(*first)).alias("node"))
+    # One token is shared by chance as soon as there are very many texts, so nodes of the first depth branch whatever their size.
+    level = _children(classes.select("cls", "mins", F.explode(F.array(*first)).alias("node")))
     known = None
-    for depth in range(1, DEPTH + 1):
-        level = level.distinct() if depth > 1 else level
+    for depth in range(2, DEPTH + 1):
         nodes = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         nodes = materialize(nodes, "nodes")
-        n_rows = (nodes.agg(F.sum("n")).first()[0] or 0)
+        n_rows = nodes.agg(F.sum("n")).first()[0]
         if not n_rows:
             break
-        members = join_counted(level, nodes, ["node"], "n", n_rows).select("node", "cls").join(slim, "cls")
+        members = join_counted(level, nodes, ["node"], "n", n_rows).select("node", "n", "cls").join(slim, "cls")
         members = materialize(_colored(members, known), "members")
+        crowded = nodes.filter(F.col("n") > NODE)
+        any_crowded = not crowded.isEmpty()
 
         # A star of every crowded node, and a forest of the closest pairs of those that fit a task.
-        nodes = members.groupBy("node").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("p"),
-            F.min("color").alias("low"), F.max("color").alias("high"),
-        ).filter("low < high").select("node", "n", F.col("p.cls").alias("pivot"))
-        shown = slim.select(F.col("cls").alias("pivot"), F.col("n_shingles").alias("pivot_size"), F.col("sketch").alias("pivot_sketch"))
-        nodes = materialize(nodes.join(shown, "pivot"), "nodes")
-        small, crowded = nodes.filter(F.col("n") <= NODE), nodes.filter(F.col("n") > NODE)
-        within = members.join(small.select("node"), "node", "left_semi")
-        met = join_counted(members, crowded, ["node"], "n", n_rows)
-        met = met.filter((F.col("cls") != F.col("pivot")) & _sizes_fit(F.col("n_shingles"), F.col("pivot_size"), percent))
-        tested = _pairs_of_nodes(within, least, percent, True).unionByName(_near_pivot(met, least, percent)).distinct()
+        tested = _pairs_of_nodes(members.filter(F.col("n") <= NODE), least, percent, True)
+        if any_crowded:
+            tested = tested.unionByName(_stars(members.filter(F.col("n") > NODE), slim, least, percent)).distinct()
         tested = materialize(tested, "tested")
         known = _joined(known, materialize(confirmed(tested, classes, docs, data, row, shingle, percent), "links"))
 
         # What is still apart: all pairs in nodes that fit a task; in others the few against all, or they branch.
-        members = materialize(_colored(members.drop("color").join(nodes.select("node"), "node", "left_semi"), known), "members")
-        within = members.join(small.select("node"), "node", "left_semi")
-        per_color = members.join(crowded.select("node"), "node", "left_semi").groupBy("node", "color").agg(F.count("*").alias("k"))
-        parts = per_color.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "color")).alias("top"))
-        parts = parts.select("node", "n", F.col("top.color").alias("major"), (F.col("n") - F.col("top.k")).alias("n_minor"))
-        parts = materialize(parts.filter("n_minor > 0"), "parts")
-        last = depth == DEPTH
-        few = parts if last else parts.filter(F.col("n_minor") <= LIMIT)
-        rest = _pairs_of_nodes(within, least, percent, False)
-        if not few.isEmpty():
-            rest = rest.unionByName(_exhausted(members, few, n_rows, least, percent)).distinct()
+        members = materialize(_colored(members.drop("color"), known), "members")
+        rest = _pairs_of_nodes(members.filter(F.col("n") <= NODE), least, percent, False)
+        if any_crowded:
+            apart = members.filter(F.col("n") > NODE)
+            parts = apart.groupBy("node", "color").agg(F.count("*").alias("k"))
+            parts = parts.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "color")).alias("top"))
+            parts = parts.select("node", "n", F.col("top.color").alias("major"), (F.col("n") - F.col("top.k")).alias("n_minor"))
+            parts = materialize(parts.filter("n_minor > 0"), "parts")
+            few = parts if depth == DEPTH else parts.filter(F.col("n_minor") <= LIMIT)
+            rest = rest.unionByName(_exhausted(apart.drop("n"), few, n_rows, least, percent)).distinct()
         rest = materialize(rest.join(tested, ["member", "hub"], "left_anti"), "rest")
         known = _joined(known, materialize(confirmed(rest, classes, docs, data, row, shingle, percent), "links"))
-        large = parts.filter(F.col("n_minor") > LIMIT)
-        if last or large.isEmpty():
+        if not any_crowded or depth == DEPTH:
+            break
+        large = materialize(parts.filter(F.col("n_minor") > LIMIT).select("node", "n"), "large")
+        if large.isEmpty():
             break
-        going = join_counted(members.select("node", "cls"), large.select("node", "n"), ["node"], "n", n_rows)
+        going = join_counted(members.select("node", "cls"), large, ["node"], "n", n_rows)
         level = materialize(_children(going.join(classes.select("cls", "mins"), "cls")), "level")
     return known
 
 
+def _stars(members: DataFrame, slim: DataFrame, least: int, percent: int) -> DataFrame:
+    """(member, hub): every class of each node with the node's pivot, a class chosen by hash, if they may be linked."""
+    nodes = members.groupBy("node").agg(
+        F.count("*").alias("k"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("p"),
+        F.min("color").alias("low"), F.max("color").alias("high"),
+    ).filter("low < high").select("node", "k", F.col("p.cls").alias("pivot"))
+    shown = slim.select(F.col("cls").alias("pivot"), F.col("n_shingles").alias("pivot_size"), F.col("sketch").alias("pivot_sketch"))
+    nodes = materialize(nodes.join(shown, "pivot"), "pivots")
+    met = join_counted(members, nodes, ["node"], "k", members.count())
+    met = met.filter((F.col("cls") != F.col("pivot")) & _sizes_fit(F.col("n_shingles"), F.col("pivot_size"), percent))
+    return _near_pivot(met, least, percent)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",

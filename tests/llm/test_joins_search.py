@@ -82,8 +82,9 @@ def crowd(spark):
     return materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "crowd")
 
 
-@pytest.mark.parametrize(("limit", "depth"), [(64, 12), (4, 2)])
-def test_crowded_nodes_lose_no_link(crowd, monkeypatch, limit, depth):
+@pytest.mark.parametrize(("node", "limit", "depth"), [(4096, 64, 12), (16, 4, 12), (2, 4, 3)])
+def test_crowded_nodes_lose_no_link(crowd, monkeypatch, node, limit, depth):
+    monkeypatch.setattr(chosen_path, "NODE", node)
     monkeypatch.setattr(chosen_path, "LIMIT", limit)
     monkeypatch.setattr(chosen_path, "DEPTH", depth)
     monkeypatch.setattr(chosen_path, "HUB_GROUP", 32)
@@ -95,7 +96,41 @@ def test_a_crowd_of_copies_does_not_make_all_pairs(crowd, monkeypatch):
     plain = chosen_path.confirmed
     monkeypatch.setattr(chosen_path, "confirmed", lambda pairs, *rest: tested.append(pairs.count()) or plain(pairs, *rest))
     assert_near(crowd.filter("doc_id < 260"))
-    assert sum(tested) < 20 * 260  # all pairs would be 33,670
+    assert sum(tested) < 10 * 260  # all pairs would be 33,670
+
+
+def test_forest_spans_the_components():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 60, 150), rng.integers(0, 60, 150)
+    cost, color = rng.integers(0, 5, 150) / 5, rng.integers(0, 50, 60)
+    chosen = chosen_path._forest(a, b, cost, color)
+
+    def parts(edges):
+        part = {c: c for c in color.tolist()}
+        for i, j in edges:
+            x, y = part[color[i]], part[color[j]]
+            part = {k: (x if v == y else v) for k, v in part.items()}
+        return part
+
+    every, some = parts(zip(a, b, strict=True)), parts(zip(a[chosen], b[chosen], strict=True))
+    assert len(set(every.values())) == len(set(some.values())) == len(set(color.tolist())) - len(chosen)
+    order = sorted(range(150), key=lambda k: cost[k])
+    least, part = 0, {c: c for c in color.tolist()}
+    for k in order:
+        x, y = part[color[a[k]]], part[color[b[k]]]
+        if x != y:
+            least += cost[k]
+            part = {c: (x if v == y else v) for c, v in part.items()}
+    assert cost[chosen].sum() == pytest.approx(least)
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(9)
+    for n in (3, 50, 400, 9000):
+        left, right = (rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
+        right[: n * 9 // 10] = left[: n * 9 // 10]
+        differ = np.bitwise_count(chosen_path.flips(left) ^ chosen_path.flips(right)).sum()
+        assert differ <= len(set(left.tolist()) ^ set(right.tolist()))
 
 
 def test_trees_and_sketches_meet_the_recall():
