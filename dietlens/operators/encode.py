@@ -1,10 +1,12 @@
-"""Text encoders: hashed TF-IDF by default, or a caller's batch model."""
+"""Text encoders: hashed TF-IDF by MLlib or by MD5, or a caller's batch model."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -44,6 +46,41 @@ def tfidf_encoder(model: PipelineModel) -> Encoder:
     return encode
 
 
+def _hashes(text: str, size: int) -> Column:
+    """The place of each word of a text: the first 32 bits of its MD5, modulo the size."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("int"))
+
+
+def fit_hashed(df: DataFrame, text: str, size: int = EMBEDDING_SIZE) -> list[float]:
+    """The weight of each of `size` hashed words: log((texts + 1) / (texts that hold it + 1)). What comes back has `size` rows."""
+    found = df.select(F.explode(F.array_distinct(_hashes(text, size))).alias("term")).groupBy("term").count().collect()
+    holding = {r["term"]: r["count"] for r in found}
+    n = df.count()
+    return [math.log((n + 1) / (holding.get(k, 0) + 1)) for k in range(size)]
+
+
+def hashed_encoder(weights: Sequence[float]) -> Encoder:
+    """TF-IDF over words hashed by MD5, as any SQL engine can repeat it; null text is encoded as ''."""
+    size = len(weights)
+    idf = np.array(weights)
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def weighed(places: pd.Series) -> pd.Series:
+        out = []
+        for found in places:
+            counts = np.bincount(np.asarray(found, np.int64), minlength=size) * idf
+            norm = np.sqrt((counts * counts).sum())
+            out.append((counts / norm if norm > 0 else counts).astype(np.float32))
+        return pd.Series(out)
+
+    def encode(df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
+        return df.withColumn(output, weighed(_hashes(text, size)))
+
+    encode.sparse_width = size
+    return encode
+
+
 def batch_encoder(make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = BATCH_SIZE) -> Encoder:
     """Encoder around a caller's model; `make_predict` loads it once per Python worker."""
     model = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)

@@ -8,8 +8,10 @@ reads its tables whole. Floats are rounded and lists joined to text, so that res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from dietlens.functions import severity as S
 from dietlens.functions import text as T
 from dietlens.functions import vectors as V
 from dietlens.operators import cluster, encode, extract, injectables, keys, knn, metrics, models, reasoning, relevance, split, vote
+from dietlens.operators.sparse import sparse
 from dietlens.plans import answer, prepare
 from dietlens.session import materialize, new_path, spread
 from dietlens.sources import records, store
@@ -45,7 +48,9 @@ THINNING = ["es"]
 CURATED = ["src0-de", "src1-fr"]
 K = 5
 BIN = 0.05
-EPS, MIN_POINTS, MIN_SIZE = 0.08, 4, 10
+EPS, MIN_POINTS, MIN_SIZE = 0.02, 4, 6
+DIMENSIONS = 64
+AXES = tuple([math.sqrt(2 / DIMENSIONS) * f(2 * math.pi * (k + 0.5) / DIMENSIONS) for k in range(DIMENSIONS)] for f in (math.cos, math.sin))
 TFIDF_SIZE = encode.EMBEDDING_SIZE
 
 _KEY = ["doc_id", "text_pos"]
@@ -304,15 +309,17 @@ def vote_distribution(spark, sf_dir):
 
 
 def nearest_food(spark, sf_dir):
-    """Food resolution on stored vectors: the first vector of each label stands for a food."""
+    """Food resolution on stored vectors: every vector is a food. Every twentieth, without half of its values, is a typed one."""
     vectors = _vectors(spark, sf_dir)
-    foods = vectors.groupBy("label").agg(F.min_by("embedding", "row_id").alias("embedding")).select(
-        F.concat(F.lit("food-"), F.col("label").cast("string")).alias("food_name"), "embedding"
+    foods = vectors.select(F.format_string("food-%09d", "row_id").alias("food_name"), "embedding")
+    typed = vectors.filter(F.col("row_id") % 20 == 0).select(
+        F.col("row_id").alias("query_id"),
+        F.transform("embedding", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit(0.0).cast("float"))).alias("embedding"),
     )
-    best = knn.nearest(vectors.withColumnRenamed("row_id", "query_id"), foods, 1, row_id="food_name")
+    best = knn.nearest(typed, foods, 1, row_id="food_name")
     similarity = F.lit(1.0) - F.col("distance")
     return best.select(
-        "query_id", F.when(similarity >= 0.25, F.col("food_name")).otherwise("typed").alias("resolved_food"),
+        "query_id", F.when(similarity >= 0.7, F.col("food_name")).otherwise("typed").alias("resolved_food"),
         F.round(similarity, 6).alias("food_similarity_score"),
     )
 
@@ -467,7 +474,7 @@ def validation(spark, sf_dir):
 
 
 def _reasoned(spark, sf_dir):
-    """Documents as queries with the documents of their nearest vectors as neighbours."""
+    """Documents as queries with the documents of their nearest vectors as neighbours; one without a vector meets none."""
     documents = table(spark, sf_dir, "documents").withColumn("drug_name", F.concat_ws("-", "source", "lang"))
     corpus = documents.select(
         F.col("doc_id").alias("row_id"), "drug_name", F.col("lang").alias("food"), F.col("text").alias("interaction_text")
@@ -478,9 +485,10 @@ def _reasoned(spark, sf_dir):
     )
     neighbors = materialize(neighbors, "neighbors")
     lists = knn.neighbor_lists(knn.attach_rows(neighbors, corpus))
+    none = F.array().cast(lists.schema["neighbors"].dataType)
     return (
         documents.select(F.col("doc_id").alias("query_id"), "drug_name", F.col("lang").alias("food"), F.col("text").alias("interaction_text"))
-        .join(lists, "query_id").join(voted, "query_id")
+        .join(lists, "query_id", "left").withColumn("neighbors", F.coalesce("neighbors", none)).join(voted, "query_id", "left")
     )
 
 
@@ -551,9 +559,9 @@ def cluster_sizes(spark, sf_dir):
 
 
 def _plane(spark, sf_dir):
-    return _vectors(spark, sf_dir).select(
-        "row_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
-    )
+    """All dimensions along two fixed orthogonal axes, which SQL can repeat."""
+    plane = cluster.add_plane(_vectors(spark, sf_dir), AXES)
+    return plane.select("row_id", "label", F.col("proj_x").alias("x"), F.col("proj_y").alias("y"))
 
 
 def plot_bins(spark, sf_dir):
@@ -656,14 +664,21 @@ def csv_round_trip(spark, sf_dir):
 
 
 def raw_records(spark, sf_dir):
-    """Documents written as nested records, one per source, and loaded as interaction rows."""
+    """Documents written as nested records, one per source, and loaded as interaction rows.
+
+    Records without a list, and with an empty one, stand beside them for every labelled document; they give no rows.
+    """
     nested = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("  "), F.col("source")).alias("name"),
         F.concat(F.col("doc_id").cast("string"), F.lit(" ")).alias("reference"),
-        F.when(F.length("text") % 7 != 0, F.split("text", "\n")).alias("food_interactions"),
+        F.split("text", "\n").alias("food_interactions"),
+    )
+    bare = table(spark, sf_dir, "labels").select(
+        F.lit("bare").alias("name"), F.concat(F.lit("0"), F.col("doc_id").cast("string")).alias("reference"),
+        F.when(F.col("quality") == 1, F.array().cast("array<string>")).alias("food_interactions"),
     )
     path = new_path(spark, "raw")
-    records.write_json_records(nested, path)
+    records.write_json_records(nested.unionByName(bare), path)
     loaded = records.load_drug_records(spark, path, multi_line=False)
     return loaded.select(
         F.col("reference").cast("long").alias("doc_id"), F.col("text_pos").cast("long").alias("text_pos"),
@@ -695,7 +710,7 @@ def corpus(spark, sf_dir) -> answer.Corpus:
         extracted = _extracted(spark, sf_dir)
         rows = materialize(prepare.labelled_triples(extracted, _KEY, patterns=PATTERNS), "rows")
         texts = rows.select(T.embedding_text("drug_name", "food", "interaction_text").alias("document"))
-        encoder = encode.tfidf_encoder(encode.fit_tfidf(texts, "document", TFIDF_SIZE))
+        encoder = encode.hashed_encoder(encode.fit_hashed(texts, "document", TFIDF_SIZE))
         vectors = materialize(prepare.vectors_of(rows, encoder), "vectors")
         joined = materialize(rows.select("row_id", "severity").join(vectors, "row_id"), "training")
         clustered = cluster.add_kmeans(joined, cluster.fit_kmeans(joined)).select("row_id", "cluster_kmeans")
@@ -719,6 +734,7 @@ def _asked(spark, sf_dir):
 
 
 def encode_text(spark, sf_dir):
+    """MLlib's encoder: length and width of its vectors, and how many values they hold, one for each known hash of a word."""
     documents = table(spark, sf_dir, "documents")
     encoder = encode.tfidf_encoder(encode.fit_tfidf(documents, "text", TFIDF_SIZE))
     unit = encoder(documents, "text", "embedding")
@@ -727,22 +743,44 @@ def encode_text(spark, sf_dir):
     )
 
 
+def encode_hashed(spark, sf_dir):
+    """The encoder of the corpus: every value of the vectors of all documents that is not zero."""
+    documents = table(spark, sf_dir, "documents")
+    encoder = encode.hashed_encoder(encode.fit_hashed(documents, "text", TFIDF_SIZE))
+    terms = encoder(documents, "text", "embedding").select("doc_id", F.explode(sparse("embedding")).alias("t"))
+    return terms.select("doc_id", F.col("t.term").cast("long").alias("term"), F.round(F.col("t.weight").cast("double"), 5).alias("weight"))
+
+
+def encode_batches(spark, sf_dir):
+    """A caller's model: here the shares of the vowels, from batches of texts."""
+    def load():
+        def predict(texts):
+            counts = np.array([[str(t).count(v) for v in "aeiou"] for t in texts], np.float32)
+            return counts / np.maximum(1.0, np.sqrt((counts * counts).sum(axis=1, keepdims=True)))
+        return predict
+
+    unit = encode.batch_encoder(load)(table(spark, sf_dir, "documents"), "text", "embedding")
+    return unit.select("doc_id", *[F.round(F.col("embedding")[k].cast("double"), 4).alias(v) for k, v in enumerate("aeiou")])
+
+
 def resolve_foods(spark, sf_dir):
     built = corpus(spark, sf_dir)
     return answer.resolve_foods(_asked(spark, sf_dir), built.foods, built.encoder).select(
-        "query_id", "food", "resolved_food", "food_similarity_score"
+        "query_id", "food", "resolved_food", F.round("food_similarity_score", 6).alias("food_similarity_score")
     )
 
 
 def retrieve(spark, sf_dir):
     built = corpus(spark, sf_dir)
     encoded = answer.encode_queries(_asked(spark, sf_dir), built.encoder)
-    return answer.retrieve(encoded, built, 10).select("query_id", "rank", "row_id", "severity", "distance")
+    found = answer.retrieve(encoded, built, 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "row_id", "severity", F.round("distance", 6).alias("distance"))
 
 
 def zero_shot(spark, sf_dir):
     return answer.zero_shot_severity(_asked(spark, sf_dir), corpus(spark, sf_dir)).select(
-        "query_id", "neighbor_pred", "neighbor_confidence", F.size("neighbors").alias("n_neighbors")
+        "query_id", "neighbor_pred", F.round("neighbor_confidence", 6).alias("neighbor_confidence"),
+        F.size("neighbors").cast("long").alias("n_neighbors"),
     )
 
 
@@ -769,7 +807,7 @@ def explanations_csv(spark, sf_dir):
     path = new_path(spark, "explanations")
     records.write_csv_records(flat, path)
     back = records.read_csv_records(spark, path, flat.schema)
-    return back.groupBy("relevant", "relevance_reason").agg(F.count("*").alias("n"))
+    return back.select("query_id", "drug_name", "food", F.md5("interaction_text").alias("interaction_text"), "relevant", "relevance_reason")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -788,6 +826,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_sizes, plot_bins, density_clusters, density_off, kmeans, projection, clustering_summary,
         model_logreg, model_forest, model_mlp, model_boosted, model_selection,
         json_round_trip, csv_round_trip, raw_records, vector_store_round_trip,
-        encode_text, resolve_foods, retrieve, zero_shot, compare_predictions, explain, result_view, explanations_csv,
+        encode_text, encode_hashed, encode_batches, resolve_foods, retrieve, zero_shot, compare_predictions, explain, result_view, explanations_csv,
     )
 }

@@ -6,7 +6,7 @@ where the library joins, hashes or iterates.
 
 from __future__ import annotations
 
-from dietlens.constants import SEVERITY_MARKERS
+from dietlens.constants import FOOD_SIMILARITY_THRESHOLD, SEVERITY_MARKERS
 from dietlens.functions.text import EXTRACTION_PROMPT, LABELLING_PROMPT
 from dietlens.operators import reasoning as R
 from dietlens.operators.relevance import MESSAGES
@@ -139,8 +139,9 @@ contexts AS (
   FROM near n JOIN documents d ON d.doc_id = n.row_id GROUP BY n.query_id),
 reasoned AS (
   SELECT d.doc_id AS query_id, d.source || '-' || d.lang AS drug_name, d.lang AS food,
-         d.text || ' ' || c.others AS context, c.examples, s.label AS final_severity, round(s.share, 6) AS confidence
-  FROM documents d JOIN contexts c ON c.query_id = d.doc_id JOIN shares s ON s.query_id = d.doc_id AND s.place = 1)"""
+         coalesce(d.text, '') || ' ' || coalesce(c.others, '') AS context, coalesce(c.examples, []) AS examples,
+         s.label AS final_severity, round(s.share, 6) AS confidence
+  FROM documents d LEFT JOIN contexts c ON c.query_id = d.doc_id LEFT JOIN shares s ON s.query_id = d.doc_id AND s.place = 1)"""
 FLAGS = ",\n".join(
     f"         {any_of('lower(context)', words)}{' OR ' + any_of('lower(food)', C.THINNING) if name == 'bleeding' else ''} AS is_{name}"
     for name, words in C.MECHANISMS.items()
@@ -175,32 +176,79 @@ worded AS (
     {choose('final_severity', R.RECOMMENDATION, 'info')} AS recommendation
   FROM typed)"""
 
-SIDE = C.EPS / 2 ** 0.5
-PLANE = f"""plane AS (
-  SELECT vec_id AS row_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-celled AS (SELECT *, floor(x / {SIDE!r})::BIGINT AS cx, floor(y / {SIDE!r})::BIGINT AS cy FROM plane)"""
-
-
-def touches(a: str, b: str) -> str:
-    return f"abs({a}.cx - {b}.cx) <= 1 AND abs({a}.cy - {b}.cy) <= 1"
+def along(axis: list[float]) -> str:
+    return f"list_dot_product(embedding::DOUBLE[], [{', '.join(repr(a) for a in axis)}]::DOUBLE[])"
 
 
+PLANE = f"plane AS (SELECT vec_id AS row_id, label, {along(C.AXES[0])} AS x, {along(C.AXES[1])} AS y FROM embeddings)"
 DENSITY = f"""WITH RECURSIVE {PLANE},
-cells AS (SELECT cx, cy, count(*) AS n FROM celled GROUP BY cx, cy),
-core AS (SELECT * FROM cells WHERE n >= {C.MIN_POINTS}),
+points AS (SELECT x, y, count(*) AS n FROM plane GROUP BY x, y),
+near AS (
+  SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, b.n AS n, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d
+  FROM points a, points b WHERE d <= {C.EPS * C.EPS!r}),
+core AS (SELECT ax AS x, ay AS y FROM near GROUP BY ax, ay HAVING sum(n) >= {C.MIN_POINTS}),
+edges AS (SELECT ax, ay, bx, by_ FROM near JOIN core a ON a.x = ax AND a.y = ay JOIN core b ON b.x = bx AND b.y = by_),
 reach AS (
-  SELECT cx, cy, cx AS rx, cy AS ry FROM core
-  UNION SELECT c.cx, c.cy, r.rx, r.ry FROM reach r JOIN core c ON {touches('r', 'c')}),
-roots AS (SELECT cx, cy, min(rx * 1000000 + ry) AS root FROM reach GROUP BY cx, cy),
-members AS (
-  SELECT cx, cy, root FROM roots
-  UNION ALL SELECT c.cx, c.cy, min(r.root) FROM cells c JOIN roots r ON {touches('c', 'r')} WHERE c.n < {C.MIN_POINTS} GROUP BY c.cx, c.cy),
+  SELECT x, y, x AS rx, y AS ry FROM core
+  UNION SELECT e.bx, e.by_, r.rx, r.ry FROM reach r JOIN edges e ON e.ax = r.x AND e.ay = r.y),
+roots AS (SELECT x, y, min(struct_pack(x := rx, y := ry)) AS root FROM reach GROUP BY x, y),
+border AS (
+  SELECT ax AS x, ay AS y, arg_min(root, struct_pack(d := d, x := bx, y := by_)) AS root
+  FROM near JOIN roots ON roots.x = bx AND roots.y = by_
+  WHERE (ax, ay) NOT IN (SELECT (x, y) FROM core) GROUP BY ax, ay),
+members AS (SELECT * FROM roots UNION ALL SELECT * FROM border),
 kept AS (
   SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster
-  FROM members JOIN cells USING (cx, cy) GROUP BY root HAVING sum(n) >= {C.MIN_SIZE}),
+  FROM members JOIN points USING (x, y) GROUP BY root HAVING sum(n) >= {C.MIN_SIZE}),
 found AS (
   SELECT p.row_id, p.label, coalesce(k.cluster, -1)::BIGINT AS cluster
-  FROM celled p LEFT JOIN members m USING (cx, cy) LEFT JOIN kept k USING (root))"""
+  FROM plane p LEFT JOIN members m USING (x, y) LEFT JOIN kept k USING (root))"""
+
+# The corpus of the whole job, its vectors as (row, term, weight), and all queries against all rows.
+
+
+def hashed(rows: str, key: str, text: str, name: str) -> str:
+    """CTEs that encode `text` of `rows`; the weights come from `idf`."""
+    return f"""{name}_words AS (
+  SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % {C.TFIDF_SIZE} AS term FROM (
+    SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {rows})),
+{name}_counts AS (SELECT {key}, term, count(*) AS n FROM {name}_words GROUP BY {key}, term)"""
+
+
+def unit(key: str, name: str) -> str:
+    return f"""{name}_idf AS (SELECT {key}, term, n * weight AS w FROM {name}_counts JOIN idf USING (term) WHERE weight <> 0),
+{name}_float AS (SELECT {key}, term, (w / sqrt(sum(w * w) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS w FROM {name}_idf),
+{name}_unit AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {name}_float)"""
+
+
+def idf(rows: str, name: str) -> str:
+    return f"""idf AS (SELECT term, ln(((SELECT count(*) FROM {rows}) + 1) / (count(*) + 1)) AS weight FROM {name}_counts GROUP BY term)"""
+
+
+def nearest(asked: str, asked_key: str, rows: str, key: str, a: str, b: str) -> str:
+    return f"""dots AS (SELECT x.{asked_key} AS q, y.{key} AS r, sum(x.w * y.w) AS s FROM {a}_unit x JOIN {b}_unit y USING (term) GROUP BY ALL),
+near AS (
+  SELECT q.{asked_key} AS q, r.{key} AS r, round(1 - coalesce(s, 0), 12) AS distance,
+         row_number() OVER (PARTITION BY q.{asked_key} ORDER BY round(1 - coalesce(s, 0), 12), r.{key}) AS rank
+  FROM (SELECT DISTINCT {asked_key} FROM {asked}) q CROSS JOIN {rows} r LEFT JOIN dots ON dots.q = q.{asked_key} AND dots.r = r.{key})"""
+
+
+JOB = f"""{FLAT}, sevens AS (
+  SELECT *, CASE WHEN {rule('lower(interaction_text)')} = 'unknown' THEN 'info' ELSE {rule('lower(interaction_text)')} END AS severity,
+         row_number() OVER (ORDER BY doc_id, text_pos, food) - 1 AS row_id FROM flat),
+corpus AS (
+  SELECT row_id, food, severity, 'Drug: ' || drug_name || '. Food: ' || coalesce({strip('food')}, 'general food') || '. Interaction: ' || interaction_text AS document
+  FROM sevens),
+asked AS (
+  SELECT conv_id * 1000 + turn AS query_id, 'SRC' || (conv_id % 25) AS drug_name, regexp_extract({norm('text')}, '{WORD}+') AS food, text FROM conversations),
+{hashed('corpus', 'row_id', 'document', 'rows')}, {idf('corpus', 'rows')}"""
+ASKED = f"""texts AS (
+  SELECT query_id, 'Drug: ' || drug_name || '. Food: ' || coalesce(nullif({strip('food')}, ''), 'general food') || '. Interaction: ' || coalesce(text, '') AS document FROM asked),
+{hashed('texts', 'query_id', 'document', 'asks')}, {unit('query_id', 'asks')}, {unit('row_id', 'rows')},
+{nearest('texts', 'query_id', 'corpus', 'row_id', 'asks', 'rows')},
+retrieved AS (
+  SELECT q AS query_id, rank, r AS row_id, severity AS label, distance, greatest(0, least(1, 1 - distance)) AS similarity
+  FROM near JOIN corpus ON row_id = r WHERE rank <= 10)"""
 
 
 ORACLE = {
@@ -279,12 +327,13 @@ SELECT query_id, string_agg(rank || ':' || row_id || ':' || label, '|' ORDER BY
     "neighbor_vote": f"""WITH {VOTE}
 SELECT query_id, label::BIGINT AS neighbor_pred, round(share, 6) AS neighbor_confidence FROM shares WHERE place = 1""",
     "vote_distribution": f"WITH {VOTE} SELECT query_id, label::BIGINT AS label, round(share, 6) AS share FROM shares",
-    "nearest_food": """WITH foods AS (SELECT 'food-' || label AS food_name, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
+    "nearest_food": """WITH typed AS (
+  SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END)::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
 sims AS (
-  SELECT a.vec_id AS query_id, f.food_name, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], f.embedding::DOUBLE[]), 12) AS distance
-  FROM embeddings a, foods f),
+  SELECT a.vec_id AS query_id, format('food-{:09d}', f.vec_id) AS food_name, round(1 - list_cosine_similarity(a.v, f.embedding::DOUBLE[]), 12) AS distance
+  FROM typed a, embeddings f),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, food_name) AS place FROM sims)
-SELECT query_id, CASE WHEN 1 - distance >= 0.25 THEN food_name ELSE 'typed' END AS resolved_food,
+SELECT query_id, CASE WHEN 1 - distance >= 0.7 THEN food_name ELSE 'typed' END AS resolved_food,
        round(1 - distance, 6) AS food_similarity_score FROM best WHERE place = 1""",
     "vector_metadata": "SELECT count(*) AS num_rows, max(len(embedding))::BIGINT AS embedding_dim, 'cosine' AS metric FROM embeddings",
     "severity_combine": f"""WITH {PAIRS}, near AS (
@@ -338,7 +387,7 @@ SELECT query_id, relevance_reason IN ('ok', 'low_context') AS relevant, relevanc
   WHEN food IS NULL OR {strip('food')} = '' THEN 'enter_food' END AS error FROM questions""",
     "context_text": f"WITH {REASONED} SELECT query_id, md5(context) AS context FROM reasoned",
     "mechanism": f"WITH {MECHANISM} SELECT query_id, type_label, mechanism, risk, severity_english, recommendation FROM worded",
-    "neighbor_examples": f"WITH {REASONED} SELECT query_id, md5(array_to_string(examples[1:2], chr(10))) AS examples FROM reasoned",
+    "neighbor_examples": f"WITH {REASONED} SELECT query_id, md5(coalesce(array_to_string(examples[1:2], chr(10)), '')) AS examples FROM reasoned",
     "prompts": f"""WITH {MECHANISM} SELECT query_id, md5(
   'Explain this drug and food interaction to a patient in plain Modern Standard Arabic. Give no doses and send every change to a doctor or pharmacist.' || chr(10)
   || 'Drug: ' || drug_name || chr(10) || 'Food: ' || CASE WHEN food = 'en' THEN 'en (closest known food: english)' ELSE food END || chr(10)
@@ -355,7 +404,7 @@ SELECT query_id, relevance_reason IN ('ok', 'low_context') AS relevant, relevanc
   FROM worded w LEFT JOIN labels l ON l.doc_id = w.query_id),
 noted AS (
   SELECT *, concat_ws(chr(10), CASE WHEN final_severity IN ('severe', 'moderate') THEN {q(R.SERIOUS_NOTE)} END,
-                      CASE WHEN confidence < 0.9 THEN {q(R.UNSURE_NOTE)} END) AS notes FROM cores)
+                      CASE WHEN confidence IS NULL OR confidence < 0.9 THEN {q(R.UNSURE_NOTE)} END) AS notes FROM cores)
 SELECT query_id, CASE WHEN notes = '' THEN core ELSE core || chr(10) || chr(10) || notes END AS explanation FROM noted""",
     "cluster_sizes": "SELECT label::BIGINT AS cluster, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY 1",
     "plot_bins": f"""WITH {PLANE}, codes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM plane))
@@ -370,20 +419,36 @@ SELECT name, id, size, {C.EPS}::DOUBLE AS eps, {C.MIN_POINTS}::BIGINT AS min_poi
     "density_off": "SELECT vec_id AS row_id, (-1)::BIGINT AS cluster FROM embeddings",
     "json_round_trip": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, interaction_text FROM lines",
     "csv_round_trip": "SELECT doc_id, source, nullif(lang, 'en') AS food, md5(text) AS text FROM documents",
-    "raw_records": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, md5(interaction_text) AS interaction_text FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) % 7 <> 0)",
+    "raw_records": f"WITH {LINES} SELECT doc_id, text_pos, drug_name, md5(interaction_text) AS interaction_text FROM lines",
     "vector_store_round_trip": """SELECT count(*) AS num_rows, max(len(embedding))::BIGINT AS embedding_dim, 'cosine' AS metric,
   round(sum(list_sum(embedding::DOUBLE[])), 4) AS total FROM embeddings""",
     "explanations_csv": f"""WITH asked AS (
-  SELECT 'src' || (conv_id % 25) AS drug, regexp_extract({norm('text')}, '{WORD}+') AS food, text AS t FROM conversations),
+  SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 25) AS drug, regexp_extract({norm('text')}, '{WORD}+') AS food, text AS t FROM conversations),
 reasons AS (
-  SELECT CASE WHEN length(food) < 2 THEN 'missing_drug_or_food'
+  SELECT *, CASE WHEN length(food) < 2 THEN 'missing_drug_or_food'
     WHEN {any_of('lower(t)', C.OFF_TOPIC)} OR {any_of('lower(food)', C.OFF_TOPIC)} THEN 'irrelevant_domain'
     WHEN drug NOT IN (SELECT lower(source) FROM documents) THEN 'unknown_drug' ELSE 'ok' END AS relevance_reason FROM asked)
-SELECT relevance_reason = 'ok' AS relevant, relevance_reason, count(*) AS n FROM reasons GROUP BY ALL""",
+SELECT query_id, upper(drug) AS drug_name, nullif(food, '') AS food, md5(t) AS interaction_text, relevance_reason = 'ok' AS relevant, relevance_reason FROM reasons""",
     "encode_text": f"""SELECT doc_id,
   CASE WHEN len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
   {C.TFIDF_SIZE}::BIGINT AS dim FROM documents""",
 }
+ORACLE["encode_hashed"] = f"""WITH {hashed('documents', 'doc_id', 'text', 'rows')}, {idf('documents', 'rows')}, {unit('doc_id', 'rows')}
+SELECT doc_id, term, round(w, 5) AS weight FROM rows_float"""
+ORACLE["encode_batches"] = """WITH c AS (SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(text) - length(replace(text, v, ''))) AS n FROM documents),
+m AS (SELECT doc_id, n, greatest(1, sqrt(list_sum(list_transform(n, lambda x: x * x)))) AS norm FROM c)
+SELECT doc_id, round(n[1] / norm, 4) AS a, round(n[2] / norm, 4) AS e, round(n[3] / norm, 4) AS i, round(n[4] / norm, 4) AS o, round(n[5] / norm, 4) AS u FROM m"""
+ORACLE["retrieve"] = f"WITH {JOB}, {ASKED} SELECT query_id, rank, row_id, label AS severity, round(distance, 6) AS distance FROM retrieved"
+ORACLE["zero_shot"] = f"""WITH {JOB}, {ASKED}, {voted('retrieved')}
+SELECT query_id, label AS neighbor_pred, round(share, 6) AS neighbor_confidence, 10::BIGINT AS n_neighbors FROM shares WHERE place = 1"""
+ORACLE["resolve_foods"] = f"""WITH {JOB},
+foods AS (SELECT DISTINCT food AS food_name FROM corpus WHERE food IS NOT NULL AND {strip('food')} <> ''),
+{hashed('foods', 'food_name', 'food_name', 'foods')}, {unit('food_name', 'foods')},
+typed AS (SELECT DISTINCT food, {strip('food')} AS t FROM asked WHERE {strip('food')} <> ''), {hashed('typed', 'food', 't', 'typed')}, {unit('food', 'typed')},
+{nearest('typed', 'food', 'foods', 'food_name', 'typed', 'foods')}
+SELECT query_id, food, CASE WHEN food IS NULL THEN NULL WHEN {strip('food')} = '' THEN '' WHEN 1 - distance >= {FOOD_SIMILARITY_THRESHOLD} THEN r ELSE food END AS resolved_food,
+       round(coalesce(1 - distance, 0), 6) AS food_similarity_score
+FROM asked LEFT JOIN near ON q = food AND rank = 1"""
 ORACLE["explanation_texts"] = ORACLE["explanations"]
 ORACLE["model_summary"] = f"""SELECT c.model, s.accuracy, s.macro_f1, c.model = b.model AS best, c.actual, c.predicted, c.n
 FROM ({ORACLE['confusion']}) c JOIN ({ORACLE['model_scores']}) s USING (model), ({ORACLE['best_model']}) b"""
