@@ -143,7 +143,8 @@ def mix(
     """Per row: `id_col`, the `keep` columns, size, source_size, target, rate, copies, taken.
 
     A null text has size 0; a null source is a source of its own, the last. Rows of size 0 get one copy, or `most` in a full
-    source, and take nothing. Repeated rows are mixed like different ones. An empty table gives an empty table. Rounding runs
+    source, and take nothing. Repeated rows are mixed like different ones. An empty table gives an empty table. Texts of any length
+    are counted whole. Other columns are not read, whatever their names; `keep` must not name what is returned. Rounding runs
     over about RUN rows of a source at a time, in descending size, so what is left over is below the size of a small document per run.
     """
     docs, row = identified(docs)

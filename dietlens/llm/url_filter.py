@@ -231,7 +231,9 @@ def judge(
     """Per row: `id_col`, the `keep` columns, host, path, rule, score, verdict (allow or block).
 
     The verdict is the longest fitting rule's, else block for a positive score. A null URL, or one without `://`, has empty host and
-    path, fits no rule and is scored by the prior. Repeated rows count each time. An empty table gives an empty table.
+    path, fits no rule and is scored by the prior. Repeated rows count each time. An empty table gives an empty table. Names and pages of
+    any length count whole; a name has about 24 pieces per letter. Other columns are not read, whatever their names; `keep` must not
+    name what is returned.
     """
     host, path = parts(F.col(url_col))
     carried = list(dict.fromkeys([id_col, *keep]))

@@ -232,6 +232,7 @@ def test_long_pages_take_time_in_proportion(source):
 def test_hosts_are_cut_into_words():
     cut = url_filter.Segmenter({"cheap": 50, "win": 40, "the": 1000, "paper": 60, "pa": 20, "per": 30, "a": 900}).cut
     assert cut("cheapcasinowin") == ("cheap", "casino", "win") and cut("thepaper") == ("the", "paper")
+    assert url_filter.Segmenter({"abc": 5}, ()).cut("abcabc") == ("abc", "abc")  # the only word costs nothing
     assert cut("") == () and "".join(cut("zqxj" * 50)) == "zqxj" * 50
 
 
