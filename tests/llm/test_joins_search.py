@@ -82,13 +82,13 @@ def crowd(spark):
     return materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "crowd")
 
 
-@pytest.mark.parametrize(("node", "limit", "depth"), [(4096, 64, 12), (16, 4, 12), (2, 4, 3)])
-def test_crowded_nodes_lose_no_link(crowd, monkeypatch, node, limit, depth):
+@pytest.mark.parametrize(("node", "limit", "depth", "some"), [(4096, 64, 12, "true"), (8, 2, 3, "doc_id < 40 OR doc_id BETWEEN 260 AND 280 OR doc_id > 420")])
+def test_crowded_nodes_lose_no_link(crowd, monkeypatch, node, limit, depth, some):
     monkeypatch.setattr(chosen_path, "NODE", node)
     monkeypatch.setattr(chosen_path, "LIMIT", limit)
     monkeypatch.setattr(chosen_path, "DEPTH", depth)
-    monkeypatch.setattr(chosen_path, "HUB_GROUP", 32)
-    assert_near(crowd)
+    monkeypatch.setattr(chosen_path, "HUB_GROUP", 16)
+    assert_near(crowd.filter(some))
 
 
 def test_a_crowd_of_copies_does_not_make_all_pairs(crowd, monkeypatch):
