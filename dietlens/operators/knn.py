@@ -29,24 +29,34 @@ _TIE = 10.0 ** -_PLACES
 _CELLS = 1 << 22  # similarities held at once
 
 
-def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """List column as a matrix of unit rows; zero rows stay zero."""
+def _single_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """List column as a matrix in its own precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         raise ValueError("null vector")
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     if n == 0:
         return np.empty((0, 0))
     dim = len(flat) // n
     if not np.all(np.diff(column.offsets.to_numpy()) == dim):
         raise ValueError("vectors differ in length")
-    matrix = flat.reshape(n, dim)
+    return flat.reshape(n, dim)
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision; zero rows stay zero."""
+    matrix = matrix.astype(np.float64)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """List column as a matrix of unit rows; zero rows stay zero."""
+    return _unit(_single_rows(column))
+
+
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
@@ -82,19 +92,17 @@ def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int,
     order = np.argsort(ids, kind="stable")
     ids, corpus = ids[order], corpus[order]
     # Single precision finds the candidates; `slack` bounds its error on unit vectors.
-    fast_queries, fast_corpus = queries.astype(np.float32), corpus.astype(np.float32)
+    fast_corpus = corpus.astype(np.float32)
     slack = np.float32((corpus.shape[1] + 16) * 2.0 ** -23)
     step = max(1, _CELLS // max(1, len(ids)))
     parts = []
     for start in range(0, len(queries), step):
         chunk = queries[start:start + step]
-        sims = fast_queries[start:start + step] @ fast_corpus.T
-        if bound is not None:
-            least = bound[start:start + step, None].astype(np.float32) - slack
-        elif len(ids) > k:
-            least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None] - 2 * slack
-        else:
-            least = np.float32(-np.inf)
+        sims = chunk.astype(np.float32) @ fast_corpus.T
+        least = np.full((len(chunk), 1), -np.inf, np.float32) if bound is None else bound[start:start + step, None].astype(np.float32) - slack
+        open_ = np.flatnonzero(np.isneginf(least[:, 0]))
+        if len(open_) and len(ids) > k:
+            least[open_] = np.partition(sims[open_], len(ids) - k, axis=1)[:, len(ids) - k, None] - 2 * slack
         take = sims >= least
         many = np.count_nonzero(take, axis=1) > 4 * k
         if many.any():
@@ -106,11 +114,38 @@ def _block_top(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int,
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
-def _kth_similarity(qrow: np.ndarray, dist: np.ndarray, n_queries: int, k: int) -> np.ndarray:
-    """Similarity of the k-th row of each query in `_keep_best` order; -inf where there are fewer."""
-    counts = np.bincount(qrow, minlength=n_queries)
-    last = np.maximum(np.cumsum(counts) - 1, 0)
-    return np.where(counts >= k, 1.0 - dist[last], -np.inf)
+class _Best:
+    """The k first rows of `n` queries in (distance, id) order over blocks that come one after another.
+
+    Holds k rows a query, and works on so many queries at once that what a block adds stays small.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.k, self.counts = k, np.zeros(n, np.int64)
+        self.dist, self.ids = np.full((n, k), np.inf), None
+
+    def add(self, first: int, queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray) -> None:
+        """`queries` are the unit rows of the queries from place `first` on, `corpus` those of a block."""
+        if self.ids is None:
+            self.ids = np.empty(self.dist.shape, ids.dtype)
+        elif self.ids.dtype != ids.dtype:
+            self.ids = self.ids.astype(np.result_type(self.ids, ids))
+        counts, dist, kept = (x[first:first + len(queries)] for x in (self.counts, self.dist, self.ids))
+        bound = np.where(counts == self.k, 1.0 - dist[:, -1], -np.inf)
+        qrow, found, far = _block_top(queries, ids, corpus, self.k, bound)
+        met = np.flatnonzero(np.bincount(qrow, minlength=len(queries)))
+        held = np.arange(self.k) < counts[met, None]
+        qrow, found, far = _keep_best(
+            np.concatenate([np.repeat(met, counts[met]), qrow]), np.concatenate([kept[met][held], found]), np.concatenate([dist[met][held], far]), self.k
+        )
+        place = np.arange(len(qrow)) - np.searchsorted(qrow, qrow, side="left")
+        kept[qrow, place], dist[qrow, place] = found, far
+        counts[met] = np.bincount(qrow, minlength=len(queries))[met]
+
+    def rows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query place, id, distance) of the queries from `first` to before `last`."""
+        held = np.arange(self.k) < self.counts[first:last, None]
+        return np.repeat(np.arange(first, last), self.counts[first:last]), self.ids[first:last][held], self.dist[first:last][held]
 
 
 def _id_fields(queries: DataFrame, corpus: DataFrame, query_id: str, row_id: str) -> StructType:
@@ -123,24 +158,22 @@ def _id_fields(queries: DataFrame, corpus: DataFrame, query_id: str, row_id: str
 
 def _broadcast_top(queries: pa.Table, corpus: DataFrame, k: int, out: StructType) -> DataFrame:
     """Stream the corpus partitions past the broadcast queries."""
-    shared = corpus.sparkSession.sparkContext.broadcast((_ids(queries.column(0)), _unit_rows(queries.column(1))))
-    names = out.names
     query_type = queries.column(0).type
+    shared = corpus.sparkSession.sparkContext.broadcast((_ids(queries.column(0)), _single_rows(queries.column(1))))
+    names = out.names
     row_type = to_arrow_type(out[names[1]].dataType)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = shared.value
-        best, bound = None, None
+        query_ids, vectors = shared.value
+        best, starts = _Best(len(vectors), k), range(0, len(vectors), BLOCK_ROWS)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            found = _block_top(query_rows, _ids(batch.column(0)), _unit_rows(batch.column(1)), k, bound)
-            if best is not None:
-                found = tuple(np.concatenate(pair) for pair in zip(best, found))
-            best = _keep_best(*found, k)
-            bound = _kth_similarity(best[0], best[2], len(query_rows), k)
-        if best is not None:
-            qrow, ids, dist = best
+            ids, rows = _ids(batch.column(0)), _unit_rows(batch.column(1))
+            for start in starts:
+                best.add(start, _unit(vectors[start:start + BLOCK_ROWS]), ids, rows)
+        for start in starts if best.ids is not None else ():
+            qrow, ids, dist = best.rows(start, min(start + BLOCK_ROWS, len(vectors)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(query_ids[qrow], query_type), pa.array(ids, row_type), pa.array(dist)], names=names
             )
@@ -182,45 +215,49 @@ def _ranked(found: DataFrame, query_id: str, row_id: str, k: int) -> DataFrame:
 def _sliced_top(queries: DataFrame, corpus: DataFrame, width: int, k: int, slice_bytes: int, out: StructType) -> DataFrame:
     """One scan of both sides for any number of queries.
 
-    The corpus is dealt by hash into slices of about `slice_bytes`; all queries are sent to every slice, behind its rows. A task
-    holds one slice and streams the queries past it, so each query leaves it with k rows.
+    The corpus is dealt by hash into slices of about `slice_bytes`, and the slices into tasks: as many as there are cores, or more if
+    a task would hold above SLICE_BYTES. All queries are sent to every task, behind its rows. A task streams them past its slices, one
+    after another, so each query leaves a task with k rows: neither what is sent nor what is found grows with the number of slices.
     """
     query_id, row_id, _ = out.names
     n_rows = corpus.count()
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     slices = max(1, min(cores, -(-n_rows // BLOCK_ROWS)), -(-n_rows * 4 * width // slice_bytes))
+    tasks = min(slices, max(cores, -(-n_rows * 4 * width // SLICE_BYTES)))
     empty = {c: F.lit(None).cast(out[c].dataType).alias(c) for c in (query_id, row_id)}
-    rows = corpus.select(
-        F.pmod(F.xxhash64(row_id), F.lit(slices)).cast("int").alias("_slice"), F.lit(False).alias("_asks"), empty[query_id], row_id, F.col("_c").alias("_v")
-    )
+    own = F.pmod(F.xxhash64(row_id), F.lit(slices)).cast("int")
+    rows = corpus.select((own % tasks).alias("_task"), own.alias("_slice"), empty[query_id], row_id, F.col("_c").alias("_v"))
     asked = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), F.lit(True).alias("_asks"), query_id, empty[row_id], F.col("_q").alias("_v")
+        F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"), F.lit(slices).alias("_slice"), query_id, empty[row_id], F.col("_q").alias("_v")
     )
     query_type, row_type = (to_arrow_type(out[c].dataType) for c in (query_id, row_id))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids, vectors = None, [], []
+        task, held = None, {}
         for batch in batches:
-            place, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (asks[1:] != asks[:-1]), True]) if len(place) else [0]
+            place, part_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (part_of[1:] != part_of[:-1]), True]) if len(place) else [0]
             for start, end in zip(edges[:-1], edges[1:], strict=True):
-                if place[start] != own:
-                    own, ids, vectors = place[start], [], []
+                if place[start] != task:
+                    task, held = place[start], {}
                 part = batch.slice(start, end - start)
                 found = _unit_rows(part.column(4))
-                if not asks[start]:
-                    ids.append(_ids(part.column(3)))
-                    vectors.append(found)
+                if part_of[start] < slices:
+                    held.setdefault(part_of[start], []).append((_ids(part.column(3)), found))
                     continue
-                if len(ids) > 1:
-                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                if ids:
-                    qrow, rows, dist = _keep_best(*_block_top(found, ids[0], vectors[0], k), k)
+                for name, parts in held.items():
+                    if len(parts) > 1:
+                        held[name] = [tuple(np.concatenate(x) for x in zip(*parts, strict=True))]
+                best = _Best(len(found), k)
+                for [(ids, vectors)] in held.values():
+                    best.add(0, found, ids, vectors)
+                if held:
+                    qrow, ids, dist = best.rows(0, len(found))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_ids(part.column(2))[qrow], query_type), pa.array(rows, row_type), pa.array(dist)], names=out.names
+                        [pa.array(_ids(part.column(2))[qrow], query_type), pa.array(ids, row_type), pa.array(dist)], names=out.names
                     )
 
-    dealt = rows.unionByName(asked).repartition(slices, "_slice").sortWithinPartitions("_slice", "_asks")
+    dealt = rows.unionByName(asked).repartitionById(tasks, "_task").sortWithinPartitions("_task", "_slice")
     return dealt.mapInArrow(meet, out)
 
 
@@ -240,7 +277,7 @@ def nearest(
     Exact brute force; fewer than k rows come back if the corpus is smaller. Both ids must be unique
     and sortable. Whichever side is within `broadcast_bytes` is broadcast, the queries if both are, and
     the other side is not shuffled; if neither is, the corpus is shuffled once into slices of about
-    `slice_bytes`, and the queries are sent to all of them. Both sides are scanned once in any case.
+    `slice_bytes`, and the queries are sent to every task that holds some. Both sides are scanned once in any case.
     """
     queries = queries.select(F.col(query_id), F.col(query_vector).cast("array<float>").alias("_q"))
     corpus = corpus.select(F.col(row_id), F.col(row_vector).cast("array<float>").alias("_c"))

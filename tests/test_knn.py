@@ -160,6 +160,18 @@ def test_partial_rows_do_not_grow_with_the_corpus_partitions(spark, monkeypatch)
     assert out.count() <= 3 * 2 * spark.sparkContext.defaultParallelism
 
 
+def test_partial_rows_do_not_grow_with_the_slices(spark):
+    """More slices than cores share tasks: the queries are sent to each task once."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4)) for i in range(500)] + [(500 + i, [1, 0, 0, 0]) for i in range(20)]
+    qs = [(i, rng.normal(size=4)) for i in range(30)] + [(50, [1, 0, 0, 0])]
+    corpus, queries = tables(spark, rows, qs)
+    assert found(knn.nearest(queries, corpus, 4, broadcast_bytes=8, slice_bytes=64)) == brute(qs, rows, 4)
+    out = knn._id_fields(queries, corpus, "query_id", "row_id")
+    sliced = knn._sliced_top(queries.withColumnRenamed("embedding", "_q"), corpus.withColumnRenamed("embedding", "_c"), 4, 2, 64, out)
+    assert sliced.count() <= len(qs) * 2 * spark.sparkContext.defaultParallelism
+
+
 def test_null_vector_is_reported(spark):
     corpus, _ = tables(spark, [(0, [1.0, 0.0])], [(0, [1.0, 0.0])])
     queries = spark.createDataFrame([(0, None), (1, [1.0, 0.0])], "query_id LONG, embedding ARRAY<FLOAT>").coalesce(1)
