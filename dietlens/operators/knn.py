@@ -26,7 +26,7 @@ SLICE_BYTES = 32 << 20
 SCANS_PER_CORE = 4
 _PLACES = 12
 _TIE = 10.0 ** -_PLACES
-_CELLS = 1 << 22  # similarities held at once
+_CELLS = 1 << 20  # similarities held at once
 
 
 def _single_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -1,6 +1,11 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from dietlens.functions import vectors as V
 from dietlens.operators import knn
@@ -172,6 +177,28 @@ def test_partial_rows_do_not_grow_with_the_slices(spark):
     assert sliced.count() <= len(qs) * 2 * spark.sparkContext.defaultParallelism
 
 
+def test_a_scan_holds_little_beside_its_best_rows():
+    """What a task holds grows by k rows a query, not by all that the first block proposes."""
+    class Corpus:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v), defaultParallelism=1))
+        coalesce = lambda self, n: self
+        mapInArrow = lambda self, scan, schema: scan
+
+    rng = np.random.default_rng(3)
+    n, k, width = 60_000, 10, 8
+    queries = pa.table({"query_id": np.arange(n), "q": pa.array(list(rng.normal(size=(n, width)).astype(np.float32)))})
+    blocks = [pa.record_batch([np.arange(300) + 300 * i, pa.array(list(rng.normal(size=(300, width)).astype(np.float32)))], names=["row_id", "c"]) for i in range(3)]
+    scan = knn._broadcast_top(queries, Corpus(), k, StructType([StructField(c, LongType()) for c in ("query_id", "row_id")] + [StructField("distance", DoubleType())]))
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in scan(iter(blocks)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == n * k
+    assert peak < n * k * 16 + (40 << 20)
+
+
 def test_null_vector_is_reported(spark):
     corpus, _ = tables(spark, [(0, [1.0, 0.0])], [(0, [1.0, 0.0])])
     queries = spark.createDataFrame([(0, None), (1, [1.0, 0.0])], "query_id LONG, embedding ARRAY<FLOAT>").coalesce(1)
