@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dietlens.operators import knn
+from dietlens.operators import cluster, encode, knn
 from dietlens.operators.sparse import Postings, nearest_sparse, sparse
 from dietlens.session import materialize
 
@@ -59,3 +59,29 @@ def test_bounds_leave_most_blocks_unread():
 def test_negative_weights_are_refused():
     with pytest.raises(ValueError, match="negative"):
         Postings(np.array([0, 1]), np.array([0]), np.array([-1.0]))
+
+
+def texts(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(["tea", "milk", "all", "Figs", "über", "x1"], k=rng.randrange(1, 7)))) for k in range(1500)]
+    table = materialize(spark.createDataFrame([*rows, (1500, None), (1501, "")], "row_id long, text string").coalesce(1))
+    return table, encode.hashed_encoder(encode.fit_hashed(table, "text", 96))
+
+
+def test_terms_of_the_encoder_are_the_values_of_its_vectors(spark):
+    """More rows than are weighed at once, a null and an empty text."""
+    table, encoder = texts(spark)
+    dense = encoder(table, "text", "embedding").select("row_id", sparse("embedding").alias("terms"))
+    want = {r.row_id: [tuple(t) for t in r.terms] for r in dense.collect()}
+    got = {r.row_id: [tuple(t) for t in r.terms] for r in encoder.terms(table, "text", "terms").collect()}
+    assert got == want and got[1500] == got[1501] == [] and len(got) == 1502
+
+
+def test_features_of_few_values_are_sparse(spark):
+    table, encoder = texts(spark)
+    vectors = materialize(encode.add_features(encoder(table, "text", "embedding")))
+    row = vectors.filter("row_id = 0").first()
+    assert row.features.toArray().tolist() == [float(x) for x in row.embedding] and len(row.features.values) < 7
+    found = [cluster.add_kmeans(vectors, cluster.fit_kmeans(vectors, 3, vector=v), v) for v in ("embedding", "features")]
+    one, other = ({r.row_id: r.cluster_kmeans for r in f.select("row_id", "cluster_kmeans").collect()} for f in found)
+    assert one == other
