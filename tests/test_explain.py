@@ -1,6 +1,7 @@
 """The whole job on a small corpus: prepare, encode, train, answer."""
 
 import dataclasses
+import hashlib
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from dietlens.operators.cluster import add_kmeans, fit_kmeans
 from dietlens.operators.extract import sorted_vocabulary
 from dietlens.operators.keys import check_alignment
 from dietlens.plans import answer as A
+from dietlens.plans import catalogue as C
 from dietlens.plans import prepare as P
 from dietlens.session import materialize
 from dietlens.sources.records import flatten_records, write_csv_records
@@ -180,6 +182,26 @@ def test_views(spark, results, tmp_path):
     assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count() == len(DEMO)
 
 
+def test_the_view_shows_the_whole_answer(results):
+    accepted = results.filter("relevant")
+    want = {r.query_id: r for r in accepted.collect()}
+    view = {r.query_id: r for r in R.result_view(accepted).collect()}
+    rows = {r.query_id: r for r in C._view_row(R.result_view(accepted)).collect()}
+    assert set(view) == set(rows) == set(want) == {0, 1, 2, 3, 6}
+    for i, r in want.items():
+        info = r.severity_info
+        for c in ("final_severity", "confidence_level", "neighbor_pred", "classifier_pred"):
+            assert view[i][c] == rows[i][c] == info[c]
+        assert view[i].explanation == rows[i].explanation == r.explanation
+        assert (R.UNSURE_NOTE in rows[i].explanation) == (info.confidence_level in ("low", "medium"))
+        assert view[i].neighbor_confidence == info.neighbor_confidence and view[i].classifier_probs == info.classifier_probs
+        assert rows[i].classifier_probs == "|".join(f"{k}:{v:.4f}" for k, v in sorted(info.classifier_probs.items()))
+        assert [x.split(":")[0] for x in rows[i].neighbor_distribution.split("|")] == sorted(info.neighbor_distribution)
+        assert rows[i].n_neighbors == 2
+        texts = [hashlib.md5(n.interaction_text.encode()).hexdigest() for n in r.neighbors]
+        assert [x.split(":")[:4] for x in rows[i].neighbors.split("|")] == [[n.drug_name, n.food or "", n.severity, t] for n, t in zip(r.neighbors, texts, strict=True)]
+
+
 def test_zero_shot_and_comparison(spark, corpus):
     queries = spark.createDataFrame(DEMO[:4], "query_id LONG, drug_name STRING, food STRING, interaction_text STRING")
     zero = {r.query_id: r for r in A.zero_shot_severity(queries, corpus, 4).collect()}
