@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from dietlens.functions import vectors as V
 from dietlens.operators import knn
+from dietlens.operators.sparse import sparse
 from dietlens.session import materialize
 
 
@@ -204,3 +205,37 @@ def test_null_vector_is_reported(spark):
     queries = spark.createDataFrame([(0, None), (1, [1.0, 0.0])], "query_id LONG, embedding ARRAY<FLOAT>").coalesce(1)
     with pytest.raises(Exception, match="null vector"):
         knn.nearest(queries, corpus, 1).collect()
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 1 << 12}, {"broadcast_bytes": 256}, {"broadcast_bytes": 16 * 40 * 8}])
+def test_vectors_of_few_values(spark, options, monkeypatch):
+    """Queries without their zeros, in one pass, in several, past slices, or past a broadcast corpus; the corpus with and without zeros."""
+    rng = np.random.default_rng(4)
+    sliced = []
+    real = knn._sliced_top
+    monkeypatch.setattr(knn, "_sliced_top", lambda *args: sliced.append(1) or real(*args))
+    few = [rng.normal(size=40) * (rng.random(40) < 0.1) for _ in range(160)]
+    rows = [(i, v) for i, v in enumerate(few)] + [(160 + i, few[3]) for i in range(30)] + [(190, np.zeros(40))]
+    qs = [(i, few[i] + (np.arange(40) == 5)) for i in range(100)] + [(200, np.zeros(40))]
+    corpus, queries = tables(spark, rows, qs)
+    want = brute(qs, rows, 6)
+    slim = corpus.select("row_id", sparse("embedding").alias("embedding"))
+    assert found(knn.nearest(queries, corpus, 6, **options)) == found(knn.nearest(queries, slim, 6, **options)) == want
+    assert len(sliced) == (2 if options.get("broadcast_bytes") == 256 else 0)
+
+
+def test_many_queries_of_few_values_are_not_sent_to_slices(spark):
+    """What is shuffled before the scan grew with queries times slices; now neither side is."""
+    rows = [(i, np.eye(32)[i % 32] * (i + 1)) for i in range(200)]
+    corpus, queries = tables(spark, rows, [(i, np.eye(32)[i % 32]) for i in range(150)])
+    got = knn.nearest(materialize(queries), materialize(corpus), 3, broadcast_bytes=1 << 12, slice_bytes=1 << 10)
+    plan = got.select("query_id")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[-1]
+    assert got.count() == 150 * 3
+
+
+def test_null_terms_are_reported(spark):
+    corpus = spark.createDataFrame([(0, [(0, 1.0)]), (1, None)], "row_id LONG, embedding ARRAY<STRUCT<term: INT, weight: FLOAT>>")
+    _, queries = tables(spark, [(0, [1.0, 0.0])], [(0, [1.0, 0.0])])
+    with pytest.raises(Exception, match="null vector"):
+        knn.nearest(queries, corpus, 1).collect()

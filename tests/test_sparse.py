@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dietlens.operators import cluster, encode, knn
 from dietlens.operators.sparse import Postings, nearest_sparse, sparse
-from dietlens.session import materialize
+from dietlens.session import materialize, release
 
 
 def vectors(spark, rows, name):
@@ -85,3 +85,35 @@ def test_features_of_few_values_are_sparse(spark):
     found = [cluster.add_kmeans(vectors, cluster.fit_kmeans(vectors, 3, vector=v), v) for v in ("embedding", "features")]
     one, other = ({r.row_id: r.cluster_kmeans for r in f.select("row_id", "cluster_kmeans").collect()} for f in found)
     assert one == other
+
+
+def test_words_are_hashed_once(spark):
+    """Places stand for texts, in the weights, the terms and the vectors; they are what SQL's MD5 gives."""
+    table, encoder = texts(spark)
+    table = table.withColumn("text", F.when(F.col("row_id") % 7 == 0, F.concat(F.lit("ÀÉ-ß_İx ٣ "), "text")).otherwise(F.col("text")))
+    placed = materialize(table.withColumn("places", encode.places("text", 96)))
+    words = F.expr(r"regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}]+)', 1)")
+    by_sql = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 96).cast("int"))
+    assert placed.filter(~by_sql.eqNullSafe(F.col("places"))).count() == 0
+    assert encode.fit_hashed(placed, "places", 96) == encode.fit_hashed(table, "text", 96)
+    for column in ("embedding", "terms"):
+        make = encoder if column == "embedding" else encoder.terms
+        one = {r.row_id: r[column] for r in make(table, "text", column).collect()}
+        other = {r.row_id: r[column] for r in make(placed, "places", column).collect()}
+        assert one == other and len(one) == 1502
+
+
+def test_features_of_terms(spark):
+    table, encoder = texts(spark)
+    dense = encode.add_features(encoder(table, "text", "embedding")).select("row_id", "features")
+    slim = encoder.terms(table, "text", "terms").withColumn("features", encode.sparse_features("terms", 96)).select("row_id", "features")
+    one, other = ({r.row_id: r.features.toArray().tolist() for r in f.collect()} for f in (dense, materialize(slim)))
+    assert one == other and len(one) == 1502
+
+
+def test_released_tables_are_gone(spark):
+    kept, written = materialize(spark.range(3)), materialize(spark.range(4))
+    release(written.join(spark.range(2), "id"))
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        materialize(written)
