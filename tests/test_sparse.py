@@ -109,6 +109,9 @@ def test_features_of_terms(spark):
     slim = encoder.terms(table, "text", "terms").withColumn("features", encode.sparse_features("terms", 96)).select("row_id", "features")
     one, other = ({r.row_id: r.features.toArray().tolist() for r in f.collect()} for f in (dense, materialize(slim)))
     assert one == other and len(one) == 1502
+    full = encoder.terms(table, "text", "terms").select("row_id", encode.full_vector("terms", 96).alias("embedding"))
+    want = {r.row_id: r.embedding for r in encoder(table, "text", "embedding").collect()}
+    assert {r.row_id: r.embedding for r in full.collect()} == want
 
 
 def test_released_tables_are_gone(spark):
